@@ -42,3 +42,13 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cairnlake/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A spooled table of at most so many rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(spooled: DataFrame, weight: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A spooled table with a broadcast hint if its rows, or their summed weight, are at most ``rows``; else as it is, for a shuffled join."""
+    n = spooled.count() if weight is None else spooled.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(spooled) if n <= rows else spooled

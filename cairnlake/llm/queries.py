@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnlake.llm import mixing, neardup, packing, pii, quality
+from cairnlake.llm import linedup, mixing, neardup, packing, pii, quality
 from cairnlake.llm.common import table
 
 
@@ -31,6 +32,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.dedup_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), F.col("_removed").alias("removed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
