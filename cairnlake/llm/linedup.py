@@ -3,13 +3,15 @@
 Distinct lines of at least ``min_chars`` code points are split into ``max_edits`` + 1 segments. Two lines within
 ``max_edits`` edits share a segment, so a line probes, for each length down to
 ``max_edits`` less than its own, the index of segments with the few substrings at which that
-segment can stand. Candidates are verified by a banded, bit-parallel automaton: one bit
+segment can stand. Candidates that a built-in distance with a threshold does not discard are verified by a banded, bit-parallel automaton: one bit
 for each diagonal of the band, one mask for each number of edits. Segments that many lines
 share are joined together with the lines and verified within the join, so that their
 candidates are never written out.
 
 Lines within the threshold, directly or through others, are a class. Of a class with more than ``max_copies``
-lines in the corpus only the first, by document and place, stays.
+lines in the corpus, or more than one if the line has ``long_chars`` code points, only the first, by document
+and place, stays. A document of which more than ``max_share`` would go is a copy as a whole; it
+is left to the deduplication of documents.
 
 Defined results: a null text stays null and an empty one empty, with one line; rows with a null id
 are left alone; rows of one id are one document; lines shorter than ``min_chars`` are never
@@ -27,7 +29,8 @@ from cairnlake.llm.components import components
 
 MAX_EDITS = 1
 MIN_CHARS = 24
-MAX_COPIES = 6
+MAX_COPIES, LONG_CHARS = 6, 200
+MAX_SHARE = 0.5
 #: Segments that more lines share are verified within the join.
 COMMON = 16
 
@@ -95,6 +98,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when((a == "") | (b == ""), F.abs(F.length(a) - F.length(b)) <= edits).otherwise(reached)
 
 
+def verified(a: Column, b: Column, edits: int) -> Column:
+    """``within``, asked only of what a cheap built-in distance with a threshold lets through: few candidates are close."""
+    return F.when(F.levenshtein(a, b, edits) >= 0, within(a, b, edits)).otherwise(F.lit(False))
+
+
 def edit_links(lines: DataFrame, max_edits: int) -> DataFrame:
     """The pairs (a, b), a < b, of different lines (h, line), by h, that are within ``max_edits`` edits.
 
@@ -117,7 +125,7 @@ def edit_links(lines: DataFrame, max_edits: int) -> DataFrame:
     ends = broadcast_if_small(spool(rare.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends"))
     texts = spool(lines.join(ends, "h", "left_semi"), "line-texts")
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    found = rare.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
+    found = rare.join(side("a"), "a").join(side("b"), "b").where(verified(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
     busy_index = index.join(small, "key", "left_semi")
     busy_probe = probe.join(small, "key", "left_semi")
@@ -125,20 +133,21 @@ def edit_links(lines: DataFrame, max_edits: int) -> DataFrame:
     texts_busy = spool(lines.join(ends, "h", "left_semi"), "line-texts")
     left = busy_probe.join(texts_busy.select(F.col("h").alias("g"), F.col("line").alias("x")), "g")
     right = busy_index.join(texts_busy.withColumnRenamed("line", "y"), "h")
-    verified = left.join(right, (left["key"] == right["key"]) & apart & within(F.col("x"), F.col("y"), max_edits))
-    return found.union(pair(verified)).distinct()
+    met = left.join(right, (left["key"] == right["key"]) & apart & verified(F.col("x"), F.col("y"), max_edits))
+    return found.union(pair(met)).distinct()
 
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, h) of each line that takes part."""
+    """(doc_id, line_no, h, n) of each line that takes part; n: code points."""
     at = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return at.where(F.length("line") >= min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
+    return at.where(F.length("line") >= min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
 
 
-def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, n_links, removed) of documents with linked or removed lines.
+def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(doc_id, n_links, repeated, chars) of documents with linked or repeated lines.
 
-    ``removed``: the lines that go, each with its class: document and place of the first line of it.
+    ``repeated``: the lines that may go, each with its class: document and place of the first line of it.
+    ``chars``: code points of the repeated lines.
     ``n_links``: how many different lines its lines are linked with, summed.
     """
     lines = docs.where("doc_id IS NOT NULL").select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= max(min_chars, max_edits + 1)).distinct()
@@ -147,26 +156,29 @@ def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int
     roots = components(links)
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     at = spool(line_table(docs, min_chars), "line-table")
-    first = at.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = spool(first.join(roots.join(degree, "node").withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).where("n > 1 OR n_links > 0"), "line-first")
-    classes = first.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("head"))
-    known = first.join(classes, "root").where((F.col("total") > max_copies) | (F.col("n_links") > 0))
+    first = at.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    first = spool(first.join(roots.join(degree, "node").withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).where("copies > 1 OR n_links > 0"), "line-first")
+    classes = first.groupBy("root").agg(F.sum("copies").alias("total"), F.min("first").alias("head"))
+    known = first.join(classes, "root")
     known = spool(known.select("h", "head", "total", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-known")
     hit = at.join(broadcast_if_small(known), "h")
-    goes = (F.col("total") > max_copies) & (F.struct("doc_id", "line_no") != F.col("head"))
+    many = F.col("total") > F.when(F.col("n") >= long_chars, 1).otherwise(max_copies)
+    goes = many & (F.struct("doc_id", "line_no") != F.col("head"))
     gone = F.when(goes, F.struct("line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line")))
-    return hit.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(gone)).alias("removed"))
+    return hit.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(gone)).alias("repeated"), F.sum(F.when(goes, F.col("n")).otherwise(0)).alias("chars")).where("n_links > 0 OR chars > 0")
 
 
-def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and columns _n_lines, _n_links, _removed."""
-    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies), "line-repeats")
-    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("n_links").alias("_n_links"), F.col("removed").alias("_removed"))
-    both = docs.join(broadcast_if_small(repeats, F.size("_removed") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and columns _n_lines, _n_links, _repeated, _n_removed."""
+    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, long_chars=long_chars), "line-repeats")
+    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("n_links").alias("_n_links"), F.col("repeated").alias("_repeated"), F.col("chars").alias("_chars"))
+    both = docs.join(broadcast_if_small(repeats, F.size("_repeated") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     parts = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed.line_no"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_repeated.line_no"))
     text = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    both = both.withColumn("_n_lines", F.coalesce(F.size(parts), F.lit(0)))
-    both = both.withColumn("text", F.when(F.size("_removed") > 0, text).otherwise(F.col("text")))
+    goes = (F.size("_repeated") > 0) & (F.col("_chars") <= F.length("text") * max_share)
     none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
-    return both.withColumn("_n_links", F.coalesce("_n_links", F.lit(0))).withColumn("_removed", F.coalesce("_removed", none))
+    both = both.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)))
+    both = both.withColumn("_n_removed", F.when(goes, F.size("_repeated")).otherwise(0))
+    both = both.withColumn("text", F.when(F.col("_n_removed") > 0, text).otherwise(F.col("text")))
+    return both.withColumn("_n_links", F.coalesce("_n_links", F.lit(0))).withColumn("_repeated", F.coalesce("_repeated", none)).drop("_chars")

@@ -53,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.dedup_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), F.col("_removed").alias("removed"))
+    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), F.col("_repeated").alias("repeated"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
