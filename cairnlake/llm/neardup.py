@@ -11,8 +11,9 @@ Work is kept linear in groups of copies without losing a link between different
 
 * equal sets are one node;
 * shingles that no other candidate has bound what a node, or a pair, can reach, exactly;
-* in a band bucket each node meets two leaders only; what they have not joined is
-  then paired across components, within the exact bound, so that no possible link is left out.
+* in a band bucket each node meets two leaders only; where they have not joined all, pairs
+  across components follow: all of them in small buckets, and in large ones those whose
+  differences to a leader overlap enough, an exact prefix filter, so that no possible link is left out.
 
 Defined results: null and empty texts have no set, link with nothing and are kept; rows with a
 null id are kept, in no component; rows of one id are one document; an empty table gives an
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import spool
+from cairnlake.llm.common import broadcast_if_small, slices, spool
 from cairnlake.llm.components import components
 
 WORDS = 5
@@ -41,8 +42,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 LEAST_SET = 6
 #: Estimates this far under the threshold are discarded; six standard deviations of REGISTERS registers.
 MARGIN = 0.13
+#: In buckets of more nodes, pairs across components are found by their differences to a pivot.
+FEW = 8
 #: Words hashed at a time.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 250_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -122,7 +125,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[tuple[np.ndarra
     for k, t in enumerate(texts):
         block.append(shingles(t))
         words += len(block[-1][0])
-        if words >= BLOCK_WORDS or len(block) >= 4096:
+        if words >= BLOCK_WORDS or len(block) >= 1024:
             yield start, block
             start, block, words = k + 1, [], 0
     if block:
@@ -133,7 +136,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands) of each document; bands only for sets that can link with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id").cast(pa.int64())
             for start, block in _blocks(b.column("text").to_pylist()):
                 big = [k for k, (s, _) in enumerate(block) if len(s) >= LEAST_SET]
@@ -149,7 +152,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     """(node, n, shingles, regs) of candidate documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id").cast(pa.int64())
             for start, block in _blocks(b.column("text").to_pylist()):
                 sets = [s for s, _ in block]
@@ -172,9 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side(regs, "b"), "b").join(side(regs, "a"), "a").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
+        for x in slices(batches):
             r = [np.frombuffer(b"".join(x.column(f"regs_{c}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in "ab"]
             j = estimate(*r, *(x.column(f"n_{c}").to_numpy() for c in "ab"))
             yield x.select(["a", "b"]).filter(pa.array(j * 100 >= percent - 100 * MARGIN))
@@ -186,6 +187,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "n_a", "n_b", shared.alias("s")).where(F.col("s") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("s")) * percent).select("a", "b")
 
 
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (p, node, n, root) of one pivot p, of different roots, that may reach the threshold.
+
+    Sets x and y differ as much as their differences to the pivot differ, and those are
+    short. For x and y to be close, their differences must share t elements, which their lengths
+    give; with elements ordered rarest first, both must have t elements from the first
+    shared one on. This drops no possible pair but those near the pivot on both sides, which
+    are of one root. Elements that no other difference has are counted, not joined.
+    """
+    s = sets.select("node", "shingles")
+    both = members.join(s.select(F.col("node").alias("p"), F.col("shingles").alias("q")), "p").join(s, "node")
+    delta = F.concat(F.array_except("shingles", "q"), F.array_except("q", "shingles"))
+    both = spool(both.select("p", "node", "n", "root", delta.alias("d")).withColumn("size", F.size("d")), "near-delta")
+    each = both.select("p", "node", F.explode("d").alias("e"))
+    often = each.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(often, ["p", "e"]).groupBy("p", "node").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("d"))
+    ranked = both.drop("d").join(ranked, ["p", "node"]).select("p", "node", "n", "root", "size", F.posexplode("d").alias("at", "x"), (F.col("size") - F.size("d")).alias("alone"))
+    ranked = spool(ranked.select("p", F.col("x.e").alias("e"), "node", "n", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "near-ranked")
+    other = ranked.select("p", "e", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "size", "left")))
+    total = F.col("n") + F.col("n_")
+    most = total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
+    need = F.col("size") + F.col("size_") - most
+    met = ranked.join(other, ["p", "e"]).where("node < node_ AND root <> root_").where((2 * F.col("left") >= need) & (2 * F.col("left_") >= need))
+    return met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """A row for each document: n_shingles, component_id (least id it can reach by links), kept."""
     sk = spool(sketch(docs), "near-sketch")
@@ -194,8 +221,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     keys = reps.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = spool(keys.join(shared, "key"), "near-entries")
-    chosen = entries.select(F.col("node").alias("doc_id")).distinct()
-    sets = spool(_full_sets(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")), "near-sets")
+    chosen = spool(entries.select(F.col("node").alias("doc_id")).distinct(), "near-chosen")
+    sets = spool(_full_sets(docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id", "left_semi")), "near-sets")
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     alone = alone.groupBy("node").agg(F.count("*").alias("u"))
     nodes = sets.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
@@ -210,12 +237,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     links = spool(_verified(tested, sets, percent), "near-links")
     roots = components(links)
 
-    labelled = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    labelled = spool(labelled.join(open_, "key"), "near-open")
-    other = labelled.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("root").alias("other"))
-    rest = labelled.join(other, "key").where("node < b AND root <> other").where(_possible(percent))
-    rest = pair(rest, "node", "b").join(tested, ["a", "b"], "left_anti")
+    labelled = spool(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-labelled")
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "node")).alias("p"))
+    open_ = spool(open_.where("x < y AND c > 2").select("key", "c", F.col("p.node").alias("p")), "near-open")
+    few = labelled.join(open_.where(F.col("c") <= FEW).select("key"), "key")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("root").alias("other"))
+    rest = pair(few.join(other, "key").where("node < b AND root <> other").where(_possible(percent)), "node", "b")
+    many = labelled.join(open_.where(F.col("c") > FEW).select("key", "p"), "key").where("node <> p").select("p", "node", "n", "root").distinct()
+    rest = rest.union(_across(spool(many, "near-many"), sets, percent)).distinct().join(tested, ["a", "b"], "left_anti")
     more = spool(_verified(spool(rest, "near-rest"), sets, percent), "near-links")
     if not more.isEmpty():
         roots = components(links.union(more))
