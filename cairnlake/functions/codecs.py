@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 # -- BLAKE3, from its published specification. Chunks of a level are compressed together in numpy.
 
@@ -398,7 +399,7 @@ def standard_formats() -> Formats:
     return out
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def blake3_udf(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """BLAKE3 of a BINARY column; null stays null."""
     for s in data:
