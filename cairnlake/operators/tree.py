@@ -80,3 +80,39 @@ def git_order(name: Column, is_dir: Column) -> Column:
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def follow_refs(refs: DataFrame, hops: int) -> DataFrame:
+    """(name, target, hops): where symbolic references (name, to) lead within ``hops`` steps; a null ``to`` is an end.
+
+    Each round jumps twice as far as the one before, so that the joins grow with the logarithm of ``hops``.
+    """
+    at = refs.select("name", F.coalesce("to", "name").alias("target"), F.col("to").isNotNull().cast("long").alias("hops"))
+    far = 1
+    while far < hops:
+        nxt = at.select(F.col("name").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
+        at = at.join(nxt, "target", "left").select("name", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+        far *= 2
+    return at
+
+
+def directory_digests(files: DataFrame) -> DataFrame:
+    """(path, n_entries, digest) of each directory, the root as "": from the deepest level up.
+
+    A directory's digest is the SHA-256 of its entries' kinds, names, digests and sizes, in order of names.
+    Entries of one directory are gathered in one row, as its encoding demands.
+    """
+    up = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.lit(""))
+    level = files.select("path", "kind", "digest", "size", F.size(F.split("path", "/")).alias("depth"))
+    deepest = level.agg(F.max("depth")).first()[0] or 0
+    out = None
+    for d in range(deepest, 0, -1):
+        own = level.where(F.col("depth") == d)
+        entry = F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "kind", "digest", "size")
+        dirs = own.groupBy(up(F.col("path")).alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        text = F.array_join(F.transform("e", lambda x: F.concat_ws("\0", x["kind"], x["name"], x["digest"], x["size"])), "\n")
+        dirs = dirs.select("path", F.size("e").cast("long").alias("n_entries"), F.sha2(text, 256).alias("digest"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + 1 + F.when(x["kind"] == "directory", x["size"]).otherwise(0)).alias("size"))
+        level = level.where(F.col("depth") < d).unionByName(dirs.select("path", F.lit("directory").alias("kind"), "digest", "size", F.lit(d - 1).alias("depth")))
+        done = dirs.select("path", "n_entries", "digest")
+        out = done if out is None else out.union(done)
+    return out if out is not None else files.sparkSession.createDataFrame([], "path string, n_entries long, digest string")

@@ -419,9 +419,15 @@ def needle_scan(spark, sf):
     return find_needles(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
+def _load() -> None:
+    import cairnlake.more_queries  # noqa: F401  adds to the tables above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
