@@ -78,9 +78,21 @@ def _open(first: int, coming: _Bag, capacities: tuple[int, ...], price: Callable
     return at
 
 
-def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """Pieces as (index, start, length, bin, offset), and the capacity of each bin."""
+Pieces = list[tuple[int, int, int, int, int]]
+
+
+def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, price: Callable[[int], float] = cost) -> tuple[Pieces, list[int]]:
+    """Pieces as (index, start, length, bin, offset), and the capacity of each bin.
+
+    Judged greedily, several sizes can come out dearer than the largest alone; the cheaper of both is taken.
+    """
     capacities = tuple(sorted(capacities))
+    tried = [_pack(lengths, opened, capacities, price) for opened in dict.fromkeys((capacities, capacities[-1:]))]
+    return min(tried, key=lambda x: (sum(map(price, x[1])), len(x[1])))
+
+
+def _pack(lengths: list[int], permitted: tuple[int, ...], capacities: tuple[int, ...], price: Callable[[int], float]) -> tuple[Pieces, list[int]]:
+    """One packing in which bins of ``permitted`` capacities are opened."""
     top = capacities[-1]
     pieces, out, fill = [], [], []
     for k, n in enumerate(lengths):
@@ -99,7 +111,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, price: Ca
         else:
             b = len(fill)
             fill.append(0)
-            opened.append(_open(x, coming, capacities, price))
+            opened.append(_open(x, coming, permitted, price))
             room = opened[b]
         out.append((k, start, x, b, fill[b]))
         fill[b] += x

