@@ -127,12 +127,14 @@ def edit_links(lines: DataFrame, max_edits: int) -> DataFrame:
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
     found = rare.join(side("a"), "a").join(side("b"), "b").where(verified(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
-    busy_index = index.join(small, "key", "left_semi")
-    busy_probe = probe.join(small, "key", "left_semi")
-    ends = broadcast_if_small(spool(busy_index.select("h").union(busy_probe.select("g")).distinct(), "line-ends"))
+    both = F.array(*(F.struct(F.lit(True).alias("indexed"), F.lit(True).alias("same"), _key(F.col("line"), n, k, i, 0).alias("key")) for i in range(1, k + 1)))
+    looks = F.transform(every, lambda x: F.struct(F.lit(False).alias("indexed"), x["same"].alias("same"), x["key"].alias("key")))
+    busy = rows.select("h", F.explode(F.concat(both, looks)).alias("x")).select("h", "x.*").join(small, "key", "left_semi")
+    busy = spool(busy, "line-busy")
+    ends = broadcast_if_small(spool(busy.select("h").distinct(), "line-ends"))
     texts_busy = spool(lines.join(ends, "h", "left_semi"), "line-texts")
-    left = busy_probe.join(texts_busy.select(F.col("h").alias("g"), F.col("line").alias("x")), "g")
-    right = busy_index.join(texts_busy.withColumnRenamed("line", "y"), "h")
+    left = busy.where("NOT indexed").select("key", "same", F.col("h").alias("g")).join(texts_busy.select(F.col("h").alias("g"), F.col("line").alias("x")), "g")
+    right = busy.where("indexed").select("key", "h").join(texts_busy.withColumnRenamed("line", "y"), "h")
     met = left.join(right, (left["key"] == right["key"]) & apart & verified(F.col("x"), F.col("y"), max_edits))
     return found.union(pair(met)).distinct()
 
@@ -173,12 +175,12 @@ def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: i
     repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, long_chars=long_chars), "line-repeats")
     repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("n_links").alias("_n_links"), F.col("repeated").alias("_repeated"), F.col("chars").alias("_chars"))
     both = docs.join(broadcast_if_small(repeats, F.size("_repeated") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    parts = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_repeated.line_no"))
-    text = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    both = both.withColumn("_parts", F.split("text", "\n", -1))
     goes = (F.size("_repeated") > 0) & (F.col("_chars") <= F.length("text") * max_share)
-    none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
-    both = both.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)))
     both = both.withColumn("_n_removed", F.when(goes, F.size("_repeated")).otherwise(0))
-    both = both.withColumn("text", F.when(F.col("_n_removed") > 0, text).otherwise(F.col("text")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_repeated.line_no"))
+    text = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
+    none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
+    both = both.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")))
+    both = both.withColumn("text", F.when(F.col("_n_removed") > 0, text).otherwise(F.col("text"))).drop("_parts")
     return both.withColumn("_n_links", F.coalesce("_n_links", F.lit(0))).withColumn("_repeated", F.coalesce("_repeated", none)).drop("_chars")
