@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import html, langid, licenses, linedup, merkle, mixing, neardup, packing, pii, quality
+from cairnlake.llm import html, langid, licenses, linedup, merkle, mixing, neardup, packing, pii, quality, sql
 from cairnlake.llm.common import table
 
 
@@ -53,7 +53,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.dedup_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), F.col("_repeated").alias("repeated"))
+    said = F.array_join(F.transform("_repeated", lambda x: F.concat_ws(":", x["line_no"], x["class_doc"], x["class_line"])), ",")
+    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), said.alias("repeated"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_merkle": sql.MERKLE, "op6_neardup": sql.NEAR_DUPLICATES, "op10_linedup": sql.LINES}
