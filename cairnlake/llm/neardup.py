@@ -13,7 +13,7 @@ Work is kept linear in groups of copies without losing a link between different
 * shingles that no other candidate has bound what a node, or a pair, can reach, exactly;
 * in a band bucket each node meets two leaders only; where they have not joined all, pairs
   across components follow: all of them in small buckets, and in large ones those whose
-  differences to a leader overlap enough, an exact prefix filter, so that no possible link is left out.
+  differences to a pivot overlap enough, an exact prefix filter, so that no possible link is left out.
 
 Defined results: null and empty texts have no set, link with nothing and are kept; rows with a
 null id are kept, in no component; rows of one id are one document; an empty table gives an
@@ -188,29 +188,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (p, node, n, root) of one pivot p, of different roots, that may reach the threshold.
+    """Pairs of members (p, node, n, root) of one pivot p, of different roots, that may reach the threshold, and members near p.
 
     Sets x and y differ as much as their differences to the pivot differ, and those are
     short. For x and y to be close, their differences must share t elements, which their lengths
     give; with elements ordered rarest first, both must have t elements from the first
-    shared one on. This drops no possible pair but those near the pivot on both sides, which
-    are of one root. Elements that no other difference has are counted, not joined.
+    shared one on. This drops no possible pair but those near the pivot on both sides, whose
+    pairs with the pivot are given. Elements that no other difference has are counted, not joined.
     """
     s = sets.select("node", "shingles")
     both = members.join(s.select(F.col("node").alias("p"), F.col("shingles").alias("q")), "p").join(s, "node")
     delta = F.concat(F.array_except("shingles", "q"), F.array_except("q", "shingles"))
-    both = spool(both.select("p", "node", "n", "root", delta.alias("d")).withColumn("size", F.size("d")), "near-delta")
+    both = spool(both.select("p", "node", "n", "root", F.size("q").alias("m"), delta.alias("d")).withColumn("size", F.size("d")), "near-delta")
     each = both.select("p", "node", F.explode("d").alias("e"))
     often = each.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1")
     ranked = each.join(often, ["p", "e"]).groupBy("p", "node").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("d"))
     ranked = both.drop("d").join(ranked, ["p", "node"]).select("p", "node", "n", "root", "size", F.posexplode("d").alias("at", "x"), (F.col("size") - F.size("d")).alias("alone"))
     ranked = spool(ranked.select("p", F.col("x.e").alias("e"), "node", "n", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "near-ranked")
     other = ranked.select("p", "e", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "size", "left")))
-    total = F.col("n") + F.col("n_")
-    most = total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
-    need = F.col("size") + F.col("size_") - most
+    most = lambda total: total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)  # noqa: E731  that close sets differ in
+    need = F.col("size") + F.col("size_") - most(F.col("n") + F.col("n_"))
     met = ranked.join(other, ["p", "e"]).where("node < node_ AND root <> root_").where((2 * F.col("left") >= need) & (2 * F.col("left_") >= need))
-    return met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+    near = both.where(F.col("size") <= most(F.col("n") + F.col("m"))).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+    return near.union(met.select(F.col("node").alias("a"), F.col("node_").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -238,8 +238,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     roots = components(links)
 
     labelled = spool(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-labelled")
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "node")).alias("p"))
-    open_ = spool(open_.where("x < y AND c > 2").select("key", "c", F.col("p.node").alias("p")), "near-open")
+    central = F.min(F.struct((F.col("u") / F.col("n")).alias("o"), "node"))
+    centres = labelled.groupBy("root").agg(central.alias("p")).select("root", F.col("p.node").alias("p"))
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+    open_ = sizes.where("roots > 1 AND c > 2").select("key", "c", F.col("top.root").alias("root")).join(centres, "root")
+    open_ = spool(open_.select("key", "c", "p"), "near-open")
     few = labelled.join(open_.where(F.col("c") <= FEW).select("key"), "key")
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("root").alias("other"))
     rest = pair(few.join(other, "key").where("node < b AND root <> other").where(_possible(percent)), "node", "b")
