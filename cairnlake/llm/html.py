@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import BROADCAST_ROWS, spool
+from cairnlake.llm.common import BROADCAST_ROWS, slices, spool
 
 #: A subtree is template if so many pages of its host have it, and this share of them.
 MIN_PAGES, MIN_SHARE = 6, 0.01
@@ -214,7 +214,7 @@ def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float
     """(key) of subtrees that recur: a hash of host and subtree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts: dict[tuple[str, int], int] = {}
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                 at = host(url)
@@ -252,7 +252,7 @@ def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = frozenset(keys.view(np.uint64).tolist()).__contains__
-            for b in batches:
+            for b in slices(batches):
                 yield batch([row(*x, known) for x in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)])
 
         return pages.select("page_id", "url", "html").mapInArrow(run, out)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.common import slices
+
 #: Labelled documents that are learned from, at most, and languages told apart (the most frequent).
 TRAIN_DOCS, MAX_LANGS = 20_000, 200
 BUCKETS = 1 << 17
@@ -34,7 +36,7 @@ CLIP = 12.0
 #: A language is a candidate in a script that so much of its letters are in.
 SCRIPT_SHARE = 0.01
 #: Letters scored at a time.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 # First and last code point of ranges of letters, and their script.
 SCRIPTS = (
@@ -107,7 +109,7 @@ def train(docs: DataFrame, usable: Column, *, rows: int = TRAIN_DOCS) -> Model:
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             of: dict[str, list[str]] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 of.setdefault(lang, []).extend(words(text))
@@ -205,7 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
-        for b in batches:
+        for b in slices(batches):
             got = [x for block in _blocks(b.column("text").to_pylist()) for x in label(block, model)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], span)], ["doc_id", "lang_pred", "score", "spans"])
 

@@ -24,6 +24,8 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairnlake.llm.common import slices
+
 MIN_COVERAGE = 0.8
 #: Words between two aligned words, at most, for them to be of one occurrence.
 MAX_GAP = 8
@@ -172,7 +174,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, *, min_covera
     hit = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [scan(words(t), known, min_coverage) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array([h[0][0] if h else None for h in got], pa.string()), pa.array([h[0][1] if h else 0.0 for h in got], pa.float64()), pa.array([len(h) for h in got], pa.int64()),

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairnlake.llm.common import slices
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "card_short", "phone_local", "ssn")
 MIN_SCORE = 0.6
@@ -125,7 +127,7 @@ def find(docs: DataFrame) -> DataFrame:
         return *counts, hashlib.sha256(said.encode()).hexdigest(), every, [(k, a, b, 1.0) for k, a, b in base] + more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [one(t) for t in b.column("text").to_pylist()]
             cols = [[r[k] for r in rows] for k in range(7)]
             cols[6] = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in r] for r in cols[6]]

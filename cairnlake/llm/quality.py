@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.common import slices
+
 #: Statistics the trees see, with the sign of the effect each may have on quality (0: free).
 FEATURES: dict[str, int] = {
     "log_words": 0, "mean_word": 0, "max_word": -1, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1,
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Tree
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [statistics(t)[1] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -199,7 +201,7 @@ def judge(docs: DataFrame, trees: Trees, *, min_score: float = MIN_SCORE) -> Dat
     """A row for each document: counts, the base rule, the trees' score and the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts, score, failed, kept = _judged(b.column("text").to_pylist(), trees, min_score)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
@@ -210,7 +212,7 @@ def keep_good(docs: DataFrame, trees: Trees, *, min_score: float = MIN_SCORE) ->
     """The rows of ``docs`` that are kept, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             kept = _judged(b.column(b.schema.names.index("text")).to_pylist(), trees, min_score)[3]
             yield b.filter(pa.array(kept))
 
