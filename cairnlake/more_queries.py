@@ -113,7 +113,7 @@ def distinct_insert(spark, sf):
     return table(spark, sf, "events").select("event_id", (rank == 1).alias("inserted"))
 
 
-@query("SELECT event_type, count(*) AS calls, min(ts) AS first_call, max(ts) AS last_call, sum(CAST(value AS DECIMAL(18,2))) AS total FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS calls, min(ts) AS first_call, max(ts) AS last_call, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM events GROUP BY 1")
 def op_counters(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.min("ts").alias("first_call"), F.max("ts").alias("last_call"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
 
