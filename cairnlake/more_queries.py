@@ -12,9 +12,9 @@ from cairnlake.functions import codecs
 from cairnlake.functions import text as t
 from cairnlake.operators import audit, catalog, chunking, kv, sets, sync, tree
 from cairnlake.operators.closure import closure
-from cairnlake.queries import COMPONENTS, DOCS, GRAPH, LEVELS, LINES, LINKS, LIVE, OBJECTS, PATHS, ROOTS, query
+from cairnlake.queries import COMPONENTS, DOCS, GRAPH, LEVELS, LINES, LINKS, LIVE, OBJECTS, PATHS, ROOTS, _links, query
 from cairnlake.sources import archives
-from cairnlake.sources.views import links, objects, payloads, table, url_path, urgent
+from cairnlake.sources.views import objects, payloads, table, url_path, urgent
 
 
 def _src(df):
@@ -127,31 +127,31 @@ def max_pinned_generation(spark, sf):
 @query(f"{GRAPH}, pins AS (SELECT ns, id FROM objects WHERE ns = 'customer' AND id % 4 = 0) SELECT p.ns, p.id FROM pins p WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.ns = p.ns AND l.id = p.id)")
 def pin_conflicts(spark, sf):
     every = objects(spark, sf)
-    doomed = audit.dead(every, closure(urgent(spark, sf), links(spark, sf)))
+    doomed = audit.dead(every, closure(urgent(spark, sf), _links(spark, sf)))
     return every.where("ns = 'customer' AND id % 4 = 0").join(doomed, ["ns", "id"], "left_semi")
 
 
 @query(f"WITH RECURSIVE {OBJECTS}, {LINKS}, roots(ns, id) AS (SELECT 'orders', o_orderkey::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT ns, id FROM objects WHERE ns = 'customer' AND id <= 20), {LIVE} SELECT ns, count(*) AS n FROM live GROUP BY ns")
 def pin_scope_mark(spark, sf):
     young = objects(spark, sf).where("ns = 'customer' AND id <= 20")
-    return closure(urgent(spark, sf).union(young), links(spark, sf)).groupBy("ns").agg(F.count("*").alias("n"))
+    return closure(urgent(spark, sf).union(young), _links(spark, sf)).groupBy("ns").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {LINKS}, {ROOTS}, {LEVELS} SELECT level, count(*) AS n FROM (SELECT ns, id, min(level) AS level FROM walk GROUP BY ns, id) GROUP BY level")
 def proof_frontier(spark, sf):
-    return closure(urgent(spark, sf), links(spark, sf)).groupBy("level").agg(F.count("*").alias("n"))
+    return closure(urgent(spark, sf), _links(spark, sf)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, want(ns, id) AS (SELECT 'orders', o_orderkey::BIGINT FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT l.dns, l.did FROM want JOIN links l ON l.sns = want.ns AND l.sid = want.id),
 have(ns, id) AS (SELECT 'orders', o_orderkey::BIGINT FROM orders WHERE o_orderkey % 3 = 1 UNION SELECT l.dns, l.did FROM have JOIN links l ON l.sns = have.ns AND l.sid = have.id) FROM want EXCEPT FROM have""")
 def fetch_selection(spark, sf):
-    o, out = objects(spark, sf).where("ns = 'orders'"), links(spark, sf)
+    o, out = objects(spark, sf).where("ns = 'orders'"), _links(spark, sf)
     return sets.difference(closure(o.where("id % 3 = 0"), out), closure(o.where("id % 3 = 1"), out), ["ns", "id"])
 
 
 @query(f"WITH RECURSIVE {OBJECTS}, {LINKS}, {ROOTS}, {LIVE} SELECT l.ns, l.id FROM live l WHERE NOT (l.ns = 'part' AND l.id % 50 = 0)")
 def availability_walk(spark, sf):
-    return closure(urgent(spark, sf), links(spark, sf)).select("ns", "id").where("NOT (ns = 'part' AND id % 50 = 0)")
+    return closure(urgent(spark, sf), _links(spark, sf)).select("ns", "id").where("NOT (ns = 'part' AND id % 50 = 0)")
 
 
 @query("""WITH RECURSIVE refs AS (SELECT conv_id * 1000 + turn AS name, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS to_ref FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
@@ -261,7 +261,7 @@ def blake3_digest(spark, sf):
 @query(None)
 def codec_roundtrip(spark, sf):
     """Order records with their links, encoded and decoded again."""
-    out = links(spark, sf).where("sns = 'orders'").groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("dns", F.col("did").cast("string").alias("id")))).alias("links"))
+    out = _links(spark, sf).where("sns = 'orders'").groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("dns", F.col("did").cast("string").alias("id")))).alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.operators import audit, catalog, chunking, kv, sets, sync, tree
 from cairnlake.operators.closure import closure, first_missing, missing
+from cairnlake.plans.spool import spool
 from cairnlake.sources.views import links, objects, payloads, table, url_path, urgent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,11 @@ PATHS = "paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$',
 COMPONENTS = "parts AS (SELECT page_id, path, url, size, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM paths)"
 
 
+def _links(spark, sf):
+    """The links, written once: every level of a closure reads them."""
+    return spool(links(spark, sf), "links")
+
+
 def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -48,12 +54,12 @@ def query(sql: str | None):
 
 @query(f"{GRAPH} SELECT o.ns, count(*) AS n_objects, count(l.id) AS n_live, count(*) - count(l.id) AS n_dead FROM objects o LEFT JOIN live l ON o.ns = l.ns AND o.id = l.id GROUP BY o.ns")
 def gc_preview(spark, sf):
-    return audit.preview(objects(spark, sf), closure(urgent(spark, sf), links(spark, sf)))
+    return audit.preview(objects(spark, sf), closure(urgent(spark, sf), _links(spark, sf)))
 
 
 @query(f"{GRAPH} SELECT ns, id FROM objects o WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.ns = o.ns AND l.id = o.id)")
 def gc_stale_objects(spark, sf):
-    return audit.dead(objects(spark, sf), closure(urgent(spark, sf), links(spark, sf)))
+    return audit.dead(objects(spark, sf), closure(urgent(spark, sf), _links(spark, sf)))
 
 
 LEVELS = "walk(ns, id, level) AS (SELECT ns, id, 0::BIGINT FROM roots UNION SELECT l.dns, l.did, w.level + 1 FROM walk w JOIN links l ON l.sns = w.ns AND l.sid = w.id)"
@@ -61,13 +67,13 @@ LEVELS = "walk(ns, id, level) AS (SELECT ns, id, 0::BIGINT FROM roots UNION SELE
 
 @query(f"WITH RECURSIVE {LINKS}, {ROOTS}, {LEVELS} SELECT ns, id, min(level) AS level FROM walk GROUP BY ns, id")
 def closure_levels(spark, sf):
-    return closure(urgent(spark, sf), links(spark, sf))
+    return closure(urgent(spark, sf), _links(spark, sf))
 
 
 @query(f"WITH RECURSIVE {LINKS}, {ROOTS}, live(ns, id) AS (SELECT ns, id FROM roots UNION SELECT l.dns, l.did FROM live JOIN links l ON l.sns = live.ns AND l.sid = live.id WHERE live.ns <> 'customer') SELECT ns, id FROM live")
 def closure_incremental(spark, sf):
     done = objects(spark, sf).where("ns = 'customer'")
-    return closure(urgent(spark, sf), links(spark, sf), stop=done).select("ns", "id")
+    return closure(urgent(spark, sf), _links(spark, sf), stop=done).select("ns", "id")
 
 
 DAMAGE = "NOT ((o.ns = 'nation' AND o.id % 5 = 0) OR (o.ns = 'part' AND o.id % 97 = 0))"
@@ -81,7 +87,7 @@ def _damaged(spark, sf):
 SELECT w.level, l.sns, l.sid, l.dns, l.did FROM least w JOIN there t ON w.ns = t.ns AND w.id = t.id JOIN links l ON l.sns = w.ns AND l.sid = w.id
 LEFT JOIN there d ON d.ns = l.dns AND d.id = l.did WHERE d.id IS NULL ORDER BY 1, 2, 3, 4, 5 LIMIT 1""")
 def closure_status(spark, sf):
-    out = links(spark, sf)
+    out = _links(spark, sf)
     return first_missing(closure(urgent(spark, sf), out), out, _damaged(spark, sf))
 
 
@@ -90,7 +96,7 @@ SELECT 'dangling' AS issue, dns AS ns, did AS id FROM (SELECT DISTINCT dns, did
 UNION ALL SELECT 'unreachable', ns, id FROM there t WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.ns = t.ns AND l.id = t.id)
 UNION ALL SELECT 'lost live object', ns, id FROM live l WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.ns = l.ns AND t.id = l.id)""")
 def fsck_issues(spark, sf):
-    out, there = links(spark, sf), _damaged(spark, sf)
+    out, there = _links(spark, sf), _damaged(spark, sf)
     live = closure(urgent(spark, sf), out).select("ns", "id")
     return audit.issues({"dangling": audit.dangling(there, out), "unreachable": audit.dead(there, live), "lost live object": live.join(there, ["ns", "id"], "left_anti")})
 
@@ -102,12 +108,12 @@ UNION ALL SELECT DISTINCT 'link', dns, did FROM links l WHERE EXISTS (SELECT 1 F
 def retained_set_violations(spark, sf):
     every = objects(spark, sf)
     kept = every.where("NOT (ns = 'customer' AND id % 7 = 0) AND NOT (ns = 'orders' AND id % 11 = 0)").union(every.where("ns = 'region'").select(F.lit("part").alias("ns"), (-F.col("id")).alias("id")))
-    return sets.retained_violations(kept, every, urgent(spark, sf), links(spark, sf))
+    return sets.retained_violations(kept, every, urgent(spark, sf), _links(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, {ROOTS}, {LIVE} SELECT l.dns AS ns, l.did AS id, count(*) AS n_referrers FROM links l JOIN live s ON s.ns = l.sns AND s.id = l.sid GROUP BY 1, 2""")
 def live_referrers(spark, sf):
-    out = links(spark, sf)
+    out = _links(spark, sf)
     live = closure(urgent(spark, sf), out).select(F.col("ns").alias("sns"), F.col("id").alias("sid"))
     return out.join(live, ["sns", "sid"], "left_semi").groupBy(F.col("dns").alias("ns"), F.col("did").alias("id")).agg(F.count("*").alias("n_referrers"))
 
@@ -116,7 +122,7 @@ def live_referrers(spark, sf):
 SELECT w.level, l.dns AS ns, count(*) AS n_missing FROM least w JOIN there t ON w.ns = t.ns AND w.id = t.id JOIN links l ON l.sns = w.ns AND l.sid = w.id
 LEFT JOIN there d ON d.ns = l.dns AND d.id = l.did WHERE d.id IS NULL GROUP BY 1, 2""")
 def missing_by_level(spark, sf):
-    out = links(spark, sf)
+    out = _links(spark, sf)
     return missing(closure(urgent(spark, sf), out), out, _damaged(spark, sf)).groupBy("level", F.col("dns").alias("ns")).agg(F.count("*").alias("n_missing"))
 
 
