@@ -35,13 +35,10 @@ from cairnlake.llm.components import components
 
 WORDS = 5
 PERCENT = 85
-BANDS, BAND_ROWS = 40, 7
-REGISTERS = BANDS * BAND_ROWS
+REGISTERS = 280
 BASE, RATE, TOP = 1.001, 20.0, 65_534
-#: Sets this small link with equal sets only: a/b >= 0.85 needs b >= 7 unless a = b.
-LEAST_SET = 6
-#: Estimates this far under the threshold are discarded; six standard deviations of REGISTERS registers.
-MARGIN = 0.13
+#: Bands share no bucket for at most this share of the pairs at the threshold.
+MISSED = 2e-7
 #: In buckets of more nodes, pairs across components are found by their differences to a pivot.
 FEW = 8
 #: Words hashed at a time.
@@ -50,6 +47,21 @@ BLOCK_WORDS = 250_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def least_set(percent: int) -> int:
+    """Sets of fewer shingles link with equal sets only: n / (n + 1) is under the threshold."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**31
+
+
+def band_rows(percent: int) -> int:
+    """The most registers a band can have so that pairs at the threshold are missed at most at the rate MISSED."""
+    return max((r for r in range(1, REGISTERS + 1) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
+def margin(percent: int) -> int:
+    """Per cent that an estimate must be under the threshold to be discarded: six standard deviations of REGISTERS registers."""
+    return int(np.ceil(6 * np.sqrt(percent * (100 - percent) / REGISTERS)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit generator (splitmix)."""
     x = (x ^ (x >> np.uint64(30))) * _B
@@ -97,11 +109,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16).reshape(n, m)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each sketch."""
-    parts = regs.reshape(len(regs), BANDS, BAND_ROWS).astype(np.uint64) + np.uint64(1)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for k in range(BAND_ROWS):
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` registers of each sketch."""
+    bands = REGISTERS // rows
+    parts = regs[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64) + np.uint64(1)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
         key = _mix(key * _A + parts[:, :, k])
     return key.view(np.int64)
 
@@ -132,15 +145,16 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[tuple[np.ndarra
         yield start, block
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands) of each document; bands only for sets that can link with others."""
+    least, rows = least_set(percent), band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids = b.column("doc_id").cast(pa.int64())
             for start, block in _blocks(b.column("text").to_pylist()):
-                big = [k for k, (s, _) in enumerate(block) if len(s) >= LEAST_SET]
-                keys = dict(zip(big, band_keys(registers([block[k][0] for k in big])).tolist(), strict=True)) if big else {}
+                big = [k for k, (s, _) in enumerate(block) if len(s) >= least]
+                keys = dict(zip(big, band_keys(registers([block[k][0] for k in big]), rows).tolist(), strict=True)) if big else {}
                 own = ids.slice(start, len(block))
                 hashes = [h if i is not None else None for (_, h), i in zip(block, own.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own, pa.array([len(s) for s, _ in block], pa.int64()), pa.array(hashes, pa.binary()), pa.array([keys.get(k) for k in range(len(block))], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
@@ -178,7 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for x in slices(batches):
             r = [np.frombuffer(b"".join(x.column(f"regs_{c}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in "ab"]
             j = estimate(*r, *(x.column(f"n_{c}").to_numpy() for c in "ab"))
-            yield x.select(["a", "b"]).filter(pa.array(j * 100 >= percent - 100 * MARGIN))
+            yield x.select(["a", "b"]).filter(pa.array(j * 100 >= percent - margin(percent)))
 
     likely = both.mapInArrow(run, "a long, b long")
     full = sets.select("node", "n", "shingles")
@@ -215,7 +229,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """A row for each document: n_shingles, component_id (least id it can reach by links), kept."""
-    sk = spool(sketch(docs), "near-sketch")
+    sk = spool(sketch(docs, percent), "near-sketch")
     reps = sk.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies"))
     reps = spool(reps.select("set_hash", F.col("r.doc_id").alias("node"), "r.bands", "copies"), "near-reps")
     keys = reps.select("node", F.explode("bands").alias("key"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from cairnlake.llm import linedup, mixing, neardup, packing, quality
 from cairnlake.llm.common import broadcast_if_small, n_words, spool, table
 
+#: Documents of this similarity are near-duplicates in the pipeline, in per cent; op6 has its own threshold.
+NEAR_PERCENT = 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -28,7 +31,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id."""
-    gone = spool(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "pipeline-gone")
+    gone = spool(neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
 
 

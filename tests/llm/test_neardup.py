@@ -96,3 +96,36 @@ def test_edges(edges, nothing):
     assert by[None]["kept"] and by[None]["component_id"] is None
     assert all(by[k]["kept"] and by[k]["n_shingles"] == 0 for k in (2, 3, 4))
     assert by[5]["n_shingles"] == 59_996
+
+
+def exact(rows, percent):
+    """The components of documents (id, text) at a threshold, by counting all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    pairs = [(a, b) for b in sets for a in sets if a < b and (s := len(sets[a] & sets[b])) and 100 * s >= percent * (len(sets[a]) + len(sets[b]) - s)]
+    root = {i: i for i in sets}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_threshold_of_80(make):
+    """Sets of 4 and 5, and of 5 and 6 shingles, and longer texts of similarity 0.80 to 0.85, link at 80."""
+    rows = texts()
+    at = len(rows)
+    for n_ in (4, 5):
+        w = [f"s{n_}x{k}" for k in range(n_ + 5)]
+        rows += [(at, " ".join(w[:-1])), (at + 1, " ".join(w))]
+        at += 2
+    for k in range(30):
+        w = [f"d{k}x{j}" for j in range(64 + k)]
+        rows += [(at, " ".join(w)), (at + 1, " ".join([*w[:20], "new", *w[21 : 52 - k // 10], *w[53 - k // 10 :], *(f"e{k}x{j}" for j in range(k % 3))]))]
+        at += 2
+    want = exact(rows, 80)
+    got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(make([(i, t, None, None) for i, t in rows]), percent=80).collect()}
+    assert got == want and sum(want[i] != x for i, x in exact(rows, 85).items()) > 10
+    assert (n.least_set(85), n.band_rows(85), n.margin(85)) == (6, 7, 13) and (n.least_set(80), n.margin(80)) == (4, 15)
+    assert all((1 - (p / 100) ** n.band_rows(p)) ** (n.REGISTERS // n.band_rows(p)) <= n.MISSED for p in (80, 85))

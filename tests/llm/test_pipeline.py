@@ -43,3 +43,15 @@ def test_registered_queries(spark):
     from cairnlake.llm import queries as q
 
     assert {k.split("_")[0] for k in q.queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_near_dedup_counts_at_80(spark, make):
+    """A copy of similarity 0.80 to 0.85 goes, and what is under 0.80 stays."""
+    from .test_neardup import exact
+
+    w = [f"w{k}" for k in range(64)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:30], "x", *w[31:-2]])), (3, " ".join([*w[:20], "y", *w[21:40], "z", *w[41:]])), (4, "one two three four five six seven eight"), (5, "one two three four five six seven eight nine")]
+    docs = make([(i, t, "en", "a") for i, t in rows])
+    want = {i for i, r in exact(rows, 80).items() if i == r}
+    assert want != {i for i, r in exact(rows, 85).items() if i == r}
+    assert {r["doc_id"] for r in c.one_of_each_group(spark, docs, "").collect()} == want
