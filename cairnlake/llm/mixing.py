@@ -17,7 +17,7 @@ and size; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,18 +105,20 @@ def _augment(p: int, patterns, users, flow, left) -> list | None:
     return None
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float], *, members: Column | None = None, size: Column | None = None, epochs: int = MAX_EPOCHS, seed: int = SEED, whole_only: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weight: Callable[[int], float], *, members: Column | None = None, size: Column | None = None, epochs: int = MAX_EPOCHS, seed: int = SEED, whole_only: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """A row for each document: its size, its pattern's size and summed targets, and the words the mix takes.
 
     ``members``: array of the sources a document belongs to; its ``source`` by default. The document in
     which a pattern's remainder ends is taken in part, so that quotas are met exactly; with
-    ``whole_only`` it is taken if that comes nearer.
+    ``whole_only`` it is taken if that comes nearer. Columns named by ``carry`` come along in a struct ``row``, so
+    that rows of one id, or of none, each keep their own words.
     """
     spark = docs.sparkSession
     members = F.array("source") if members is None else members
     size = n_words(F.col("text")) if size is None else size
-    slim = docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"))
-    slim = slim.select("doc_id", "size", "members", F.to_json("members", {"ignoreNullFields": "false"}).alias("pattern"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    along = ["row"] if carry else []
+    slim = docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
+    slim = slim.select("doc_id", "size", "members", *along, F.to_json("members", {"ignoreNullFields": "false"}).alias("pattern"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     slim = spool(slim.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")), "mix")
     buckets = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("members").alias("members"))
     rows = buckets.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
@@ -140,11 +142,11 @@ def mix(docs: DataFrame, weight: Callable[[int], float], *, members: Column | No
     cuts = {r["pattern"]: (r["bucket"], r["rest"] - r["upto"] + r["words"]) for r in ends.select("pattern", "bucket", "rest", "upto", "words").collect()}
     known = spark.createDataFrame([(*p[:4], *cuts.get(p[0], (-1, 0))) for p in plan], "pattern string, source_size long, target double, whole long, cut int, inside long")
     # a row for each pattern: at most MAX_PATTERNS, so it may be broadcast
-    all_rows = slim.select("doc_id", "size", "pattern", "h", "bucket").join(F.broadcast(known), "pattern")
+    all_rows = slim.select("doc_id", "size", "pattern", "h", "bucket", *along).join(F.broadcast(known), "pattern")
     plain = all_rows.where("bucket <> cut").withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     at_cut = all_rows.where("bucket = cut").withColumn("upto", F.sum("size").over(order))
     room = F.col("inside") - F.col("upto") + F.col("size")
     part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole_only else F.greatest(F.lit(0), F.least(F.col("size"), room))
     at_cut = at_cut.withColumn("extra", part.cast("long")).drop("upto")
-    return plain.unionByName(at_cut).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return plain.unionByName(at_cut).select("doc_id", "size", *along, "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))

@@ -36,10 +36,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole."""
-    times = mixing.mix(docs, lambda k: 1 + k % 3, whole_only=True).where("taken > 0").select("doc_id", F.expr("int(taken DIV size)").alias("_times")).distinct()
-    both = docs.join(broadcast_if_small(spool(times, "pipeline-times")), "doc_id")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """Documents as often as the mix takes them, whole; each row by its own count, whether its id is repeated or null."""
+    taken = mixing.mix(docs, lambda k: 1 + k % 3, whole_only=True, carry=docs.columns).where("taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.expr("int(taken DIV size)")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_near_dedup_counts_at_80(spark, make):
     want = {i for i, r in exact(rows, 80).items() if i == r}
     assert want != {i for i, r in exact(rows, 85).items() if i == r}
     assert {r["doc_id"] for r in c.one_of_each_group(spark, docs, "").collect()} == want
+
+
+def test_mixing_keeps_rows_without_id(spark, make):
+    """What the stage returns is what the mix takes, also of rows whose id is null or repeated."""
+    rows = [(None if k % 3 == 0 else k // 2, " ".join(f"w{k}x{j}" for j in range(1 + k % 7)), "en", f"s{k % 4}") for k in range(120)]
+    docs = make(rows)
+    taken = c.mixing.mix(docs, lambda k: 1 + k % 3, whole_only=True).collect()
+    got = c.mixed(spark, docs, "").collect()
+    words = lambda found: sum(len(r["text"].split()) for r in found)
+    for null in (True, False):
+        assert words(r for r in got if (r["doc_id"] is None) == null) == sum(r["taken"] for r in taken if (r["doc_id"] is None) == null) > 0
+    assert {r["text"] for r in got} <= {t for _, t, _, _ in rows} and len(got[0]) == len(docs.columns)
+    counts = [[r["text"] for r in got].count(t) for _, t, _, _ in rows]
+    assert all(0 <= n <= c.mixing.MAX_EPOCHS for n in counts)
