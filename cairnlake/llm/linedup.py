@@ -10,8 +10,9 @@ candidates are never written out.
 
 Lines within the threshold, directly or through others, are a class. Of a class with more than ``max_copies``
 lines in the corpus, or more than one if the line has ``long_chars`` code points, only the first, by document
-and place, stays. A document of which more than ``max_share`` would go is a copy as a whole; it
-is left to the deduplication of documents.
+and place, stays. With ``copies_percent``, a line also stays in a document whose whole text is shown to be a copy, of at
+least that similarity, of the document of that first line: copies are left to the deduplication of documents. With
+``max_share``, a document of which more would go keeps all its lines, copy or not.
 
 Defined results: a null text stays null and an empty one empty, with one line; rows with a null id
 are left alone; rows of one id are one document; lines shorter than ``min_chars`` are never
@@ -33,6 +34,8 @@ MAX_COPIES, LONG_CHARS = 6, 200
 MAX_SHARE = 0.5
 #: Segments that more lines share are verified within the join.
 COMMON = 16
+#: Words of a shingle, and pairs with one first document that one task compares.
+WORDS, PAIRS = 5, 256
 
 
 def _segment(n: Column, k: int, i: int) -> tuple[Column, Column]:
@@ -145,7 +148,38 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     return at.where(F.length("line") >= min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
 
 
-def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS) -> DataFrame:
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, s, n): hashes of the distinct five-word shingles of each id with words; rows of one id are one document."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    n = F.size("w")
+    s = F.when(n < WORDS, F.array(F.xxhash64("w"))).otherwise(F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS))))
+    sets = rows.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    return sets.withColumn("n", F.size("s").cast("long"))
+
+
+def copies(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (doc_id, first) of ids whose texts have a Jaccard similarity of ``percent`` or more.
+
+    Sizes are compared first, then full sets. A document that is the first of many is dealt to several tasks.
+    """
+    ends = spool(pairs.select(F.explode(F.array("doc_id", "first")).alias("doc_id")).distinct(), "line-ends")
+    sets = spool(shingle_sets(docs.select("doc_id", "text").join(broadcast_if_small(ends), "doc_id", "left_semi")), "line-sets")
+    sizes = sets.select("doc_id", "n")
+    firsts = broadcast_if_small(spool(pairs.select("first").distinct().join(sizes.select(F.col("doc_id").alias("first"), F.col("n").alias("m")), "first"), "line-firsts"))
+    likely = pairs.join(sizes, "doc_id").join(firsts, "first").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    likely = spool(likely.select("doc_id", "first"), "line-likely")
+    often = likely.groupBy("first").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    busy = broadcast_if_small(spool(often.where("parts > 1"), "line-busy-firsts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = likely.join(sets, "doc_id").join(busy, "first", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("parts")
+    right = often.join(sets.select(F.col("doc_id").alias("first"), F.col("s").alias("z"), F.col("n").alias("m")), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    shared = F.size(F.array_intersect("s", "z")).cast("long")
+    met = left.join(right, ["first", "part"]).select("doc_id", "first", "n", "m", shared.alias("c"))
+    return met.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("doc_id", "first")
+
+
+def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, copies_percent: int | None = None) -> DataFrame:
     """(doc_id, n_links, repeated, chars) of documents with linked or repeated lines.
 
     ``repeated``: the lines that may go, each with its class: document and place of the first line of it.
@@ -166,17 +200,24 @@ def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int
     hit = at.join(broadcast_if_small(known), "h")
     many = F.col("total") > F.when(F.col("n") >= long_chars, 1).otherwise(max_copies)
     goes = many & (F.struct("doc_id", "line_no") != F.col("head"))
+    if copies_percent is not None:
+        other = hit.where(goes).select("doc_id", F.col("head.doc_id").alias("first")).where("doc_id <> first").distinct()
+        same = spool(copies(docs, spool(other, "line-pairs"), copies_percent).withColumn("copy", F.lit(True)), "line-copies")
+        hit = hit.withColumn("first", F.col("head.doc_id")).join(broadcast_if_small(same), ["doc_id", "first"], "left")
+        goes = goes & F.col("copy").isNull()
     gone = F.when(goes, F.struct("line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line")))
     return hit.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(gone)).alias("repeated"), F.sum(F.when(goes, F.col("n")).otherwise(0)).alias("chars")).where("n_links > 0 OR chars > 0")
 
 
-def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, max_share: float = MAX_SHARE) -> DataFrame:
+def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, max_share: float | None = MAX_SHARE, copies_percent: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and columns _n_lines, _n_links, _repeated, _n_removed."""
-    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, long_chars=long_chars), "line-repeats")
+    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, long_chars=long_chars, copies_percent=copies_percent), "line-repeats")
     repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("n_links").alias("_n_links"), F.col("repeated").alias("_repeated"), F.col("chars").alias("_chars"))
     both = docs.join(broadcast_if_small(repeats, F.size("_repeated") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     both = both.withColumn("_parts", F.split("text", "\n", -1))
-    goes = (F.size("_repeated") > 0) & (F.col("_chars") <= F.length("text") * max_share)
+    goes = F.size("_repeated") > 0
+    if max_share is not None:
+        goes = goes & (F.col("_chars") <= F.length("text") * max_share)
     both = both.withColumn("_n_removed", F.when(goes, F.size("_repeated")).otherwise(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_repeated.line_no"))
     text = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")

@@ -22,8 +22,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that others have first; those that only consisted of such lines go."""
-    found = linedup.dedup_documents(docs)
+    """Documents without lines that others have first, whatever their share; those that only consisted of such lines go.
+
+    Near copies of the document that has a line first keep it, so that they reach near-dedup whole.
+    """
+    found = linedup.dedup_documents(docs, max_share=None, copies_percent=NEAR_PERCENT)
     emptied = (F.col("_n_removed") > 0) & (n_words(F.col("text")) == 0)
     found = found.where(~emptied).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)

@@ -69,3 +69,25 @@ def test_mixing_keeps_rows_without_id(spark, make):
     assert {r["text"] for r in got} <= {t for _, t, _, _ in rows} and len(got[0]) == len(docs.columns)
     counts = [[r["text"] for r in got].count(t) for _, t, _, _ in rows]
     assert all(0 <= n <= c.mixing.MAX_EPOCHS for n in counts)
+
+
+def test_line_dedup_whatever_the_share(spark, make):
+    """Pages that mostly consist of repeated lines lose them; copies, equal or near, stay whole for near-dedup."""
+    line = lambda x, n=60: " ".join(f"{x}{k}" for k in range(n))  # noqa: E731  over 200 characters
+    own = "a short line of its own words"
+    whole = [line("p"), line("q"), line("r")]
+    near = [line("p").replace("p20 p21", "new word"), *whole[1:]]
+    rows = [
+        (1, f"{line('boiler')}\n{line('plate')}\n{line('first')}\n{line('more')}"),
+        (2, f"{line('boiler')}\n{own}\n{line('plate')}"),
+        (3, "\n".join([*whole, line("boiler")])),
+        (4, "\n".join([*whole, line("boiler")])),
+        (5, "\n".join([*near, line("boiler")])),
+        (6, f"{line('q')}\n{line('other', 60)}\n{line('other', 60)}"),
+        (7, line("first")),
+        (None, line("first")),
+    ]
+    got = {r["doc_id"]: r["text"] for r in c.without_repeated_lines(spark, make([(i, t, "en", "a") for i, t in rows]), "").collect()}
+    want = dict(rows) | {2: own, 3: "\n".join(whole), 4: "\n".join(whole), 5: "\n".join(near), 6: line("other", 60)}
+    del want[7]
+    assert got == want
