@@ -342,7 +342,8 @@ def path_resolve(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", tree.parts(url_path()).alias("components"))
     c = F.col("components")
     chain = pages.where("page_id % 3 <> 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.struct(F.array_join(F.slice(c, 1, i - 1), "/").alias("dir"), F.element_at(c, i).alias("name"), F.array_join(F.slice(c, 1, i), "/").alias("child")))).alias("x"))
-    return tree.resolve(pages.withColumnRenamed("page_id", "path_id"), chain.select("x.*").distinct(), 4)
+    depth = pages.agg(F.max(F.size(c))).first()[0] or 0
+    return tree.resolve(pages.withColumnRenamed("page_id", "path_id"), chain.select("x.*").distinct(), depth)
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, (epoch(ts)::BIGINT // 86400) AS layer FROM events), w AS (SELECT user_id, max(layer) AS cut FROM e WHERE event_type = 'error' GROUP BY 1),
