@@ -12,6 +12,7 @@ from cairnlake.functions import codecs
 from cairnlake.functions import text as t
 from cairnlake.operators import audit, catalog, chunking, kv, sets, sync, tree
 from cairnlake.operators.closure import closure
+from cairnlake.plans.spool import spool
 from cairnlake.queries import COMPONENTS, DOCS, GRAPH, LEVELS, LINES, LINKS, LIVE, OBJECTS, PATHS, ROOTS, _links, query
 from cairnlake.sources import archives
 from cairnlake.sources.views import objects, payloads, table, url_path, urgent
@@ -303,16 +304,30 @@ def verified_range(spark, sf):
 
 @query(None)
 def sliced_delta(spark, sf):
-    """Each text as a delta on the first text with the same opening words; what was copied, and that it decodes."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.md5(F.substring("text", 1, 40)).alias("k"))
-    first = d.groupBy("k").agg(F.min("doc_id").alias("base_id"))
-    pairs = d.join(first, "k").where("doc_id <> base_id").join(d.select(F.col("doc_id").alias("base_id"), F.col("text").alias("base")), "base_id").select("doc_id", "base_id", "base", "text")
+    """Each text as a delta on the earlier text that shares most bytes of content-defined chunks; what was copied, and that it decodes.
+
+    Equal texts have the first of them as base; the first ones are compared by all chunks they share, wherever these
+    stand. A text without a base is one literal.
+    """
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    first = spool(d.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id")), "delta-first")
+    raw = F.col("text").cast("binary")
+    once = d.join(first.select("doc_id"), "doc_id", "left_semi")
+    chunks = spool(chunking.content_chunks(once, "doc_id", raw, 128).groupBy("doc_id", "chunk").agg(F.sum("size").alias("size")), "delta-chunks")
+    shared = chunks.join(chunks.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "chunk")
+    other = shared.select("chunk", F.col("doc_id").alias("base_id"), F.col("size").alias("held"))
+    met = shared.join(other, "chunk").where("base_id < doc_id").groupBy("doc_id", "base_id").agg(F.sum(F.least("size", "held")).alias("n"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("base_id")).alias("b"))).alias("x")).select("doc_id", (-F.col("x.b")).alias("base_id"))
+    equal = d.select("doc_id", F.sha2("text", 256).alias("k")).join(first.withColumnRenamed("doc_id", "base_id"), "k").where("doc_id <> base_id").select("doc_id", "base_id")
+    bases = spool(best.union(equal), "delta-bases")
+    held = d.select(F.col("doc_id").alias("base_id"), F.col("text").alias("base"))
+    pairs = d.join(bases, "doc_id", "left").join(held, "base_id", "left").select("doc_id", "base_id", "base", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, j, base, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                old, new = base.encode(), text.encode()
+                old, new = (base or "").encode(), (text or "").encode()
                 tokens = codecs.encode_delta(old, new)
                 copied = sum(x for kind, _, x in tokens if kind == "copy")
                 rows.append((i, j, len(tokens), copied, len(new) - copied, codecs.decode_delta(old, tokens) == new))
