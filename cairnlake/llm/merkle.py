@@ -3,7 +3,7 @@
 A text splits at newlines into paragraphs, and those at certain spaces into pieces, the
 leaves. A section ends with a paragraph whose digest starts with 0 or 1, so that an insertion
 moves no later section's bounds. Each node is the SHA-256 of its children's digests: equal
-roots mean equal texts, and ``differing`` follows unequal branches down to the edited places.
+roots mean equal texts. ``differing`` only lists paragraphs that the other text lacks; it locates no deletion, move or leaf.
 
 The fingerprint is the root, a colon, and the first twelve hexadecimal digits of each leaf in
 order. The likeness of two fingerprints is twice the number of their common leaves over the
