@@ -1,4 +1,12 @@
+import math
+import random
+import re
+import time
+from html import unescape
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cairnlake.llm import html as h
 
@@ -54,7 +62,7 @@ def test_common_passages_and_copies_stay(spark, monkeypatch):
     got = {r["page_id"]: r["text"] for r in h.extract(pages).collect()}
     assert {k: got[k] for k in range(15)} == {k: want[k] for k in range(15)}
     assert all("copied whole, many times over" in got[100 + k] for k in range(15))
-    monkeypatch.setattr(h, "BROADCAST_ROWS", -1)  # the way of many templates gives the same
+    monkeypatch.setattr(h, "HELD_KEYS", -1)  # the way of many templates gives the same
     assert {r["page_id"]: r["text"] for r in h.extract(pages).collect()} == got
 
 
@@ -64,3 +72,80 @@ def test_edges(spark):
     got = h.extract(pages).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 0, 39_999]
     assert h.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p data-x=it's>Hello don't stop</p><p>Second can't</p>", "Hello don't stop\nSecond can't"),
+        ("<article><p class='search engines'>a</p><section id=menu-items><h2>Menu items</h2><p>A long paragraph on what a menu holds.</p></section><div class='widget story'>b</div><h2 id=related-work>c</h2><h2 id=comment>d</h2></article>", "a\nMenu items\nA long paragraph on what a menu holds.\nb\nc\nd"),
+        ("<article><p>first part</p></article><div class=ad>no</div><article><p>second</p></article>", "first part\nsecond"),
+        ("<article><p>x</p><div class=share-buttons><a href=#>one</a> <a href=#>two</a></div><div id=comments-area><p>no</p></div><div class='ad-slot top'>no</div></article>", "x"),
+        ("<p title='a class=ad b'>x</p>", "x"),
+        ("<article><p>a<b>b<i>c</p><p>d</p></article>", "abc\nd"),
+    ],
+)
+def test_names_decide_little(page, want):
+    assert text(page) == want
+
+
+WORDS = st.lists(st.sampled_from(["plain", "a &amp; b", "it's", 'say "no"', "é😀", "1 &lt; 2", "<b>bold</b>", "<i class=x>in</i>line", "<!-- <p>no</p> -->"]), min_size=1, max_size=6).map(" ".join)
+FURNITURE = st.sampled_from(["<nav><ul><li><a href=/>no</a></ul></nav>", "<div class='ad'>no</div>", "<aside><p>no</p></aside>", "<script>var t='</p>';</script>", "<form><input><button>no</button></form>", "<style>p{}</style>", "<div id='comments'><p>no</p></div>", ""])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "blockquote", "div"]), WORDS, FURNITURE), min_size=1, max_size=8), FURNITURE, FURNITURE)
+def test_against_known_blocks(blocks, before, after):
+    page = f"<html><body>{before}<article>" + "".join(f"<{t}>{w}</{t}>{f}" for t, w, f in blocks) + f"</article>{after}<footer>no</footer></body></html>"
+    plain = [" ".join(unescape(re.sub(r"<!--.*?-->|<[^>]*>", "", w)).split()) for _, w, _ in blocks]
+    assert text(page) == "\n".join(x for x in plain if x)
+    root, order = h.thaw(h.freeze(h.seal(h.parse(page))))
+    assert h.main_text(root, set()) == text(page) and order[-1] is root
+
+
+def brute_templates(pages):
+    """Subtrees by host, counted over distinct pages, by plain dictionaries."""
+    seen, count, total = set(), {}, {}
+    for _, url, page in pages:
+        at = h.host(url)
+        order = h.seal(h.parse(page))
+        if (at, order[-1].hash) in seen:
+            continue
+        seen.add((at, order[-1].hash))
+        total[at] = total.get(at, 0) + 1
+        for x in {n.hash for n in order if h._may_be_template(n)}:
+            count[at, x] = count.get((at, x), 0) + 1
+    return {k for k, n in count.items() if n >= max(3, math.ceil(min(total[k[0]] / 2, max(6, total[k[0]] * h.MIN_SHARE))))}
+
+
+def test_hosts_without_telling_markup(spark):
+    """No article, no name, no tag says what is furniture: counting alone finds it, on small hosts too."""
+    rnd = random.Random(3)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for at, n in (("one.example", 3), ("two.example", 40), ("tiny.example", 2)):
+        top, low, side = say(6), say(9), say(3)
+        for k in range(n):
+            own = [say(30), say(25)]
+            extra = f"<div class=x3>{side}</div>" if k % 2 == 0 else ""
+            page_id = len(rows)
+            rows.append((page_id, f"http://{at}/{k}", f"<div class=x1><span>{top}</span></div><div class=x2><div>{own[0]}</div>{extra}<div>{own[1]}</div></div><div class=x4><b>{low}</b></div>"))
+            want[page_id] = "\n".join(own) if at != "tiny.example" else None
+            if at == "one.example" and extra:
+                want[page_id] = "\n".join([own[0], side, own[1]])  # on two pages of three only
+    rows += [rows[0]] * 5  # equal pages count once
+    found = brute_templates(rows)
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page_id, url, page in rows:
+        tree = h.parse(page)
+        h.seal(tree)
+        assert got[page_id] == h.main_text(tree, {x for at, x in found if at == h.host(url)})
+        if want[page_id] is not None:
+            assert got[page_id] == want[page_id]
+
+
+def test_broken_pages_take_linear_time():
+    for page in ("<b>" * 200_000 + "</i>" * 200_000, "<p><button>" + "<b><p></p>" * 100_000, "<li>" * 100_000, "<a x='" * 100_000, "<script>" * 100_000, "<div>" * 100_000):
+        began = time.time()
+        text(page)
+        assert time.time() - began < 10
