@@ -1,23 +1,25 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
-Distinct lines of at least ``min_chars`` code points are split into ``max_edits`` + 1 segments. Two lines within
+Lines of at least ``min_chars`` code points are split into ``max_edits`` + 1 segments. Two lines within
 ``max_edits`` edits share a segment, so a line probes, for each length down to
 ``max_edits`` less than its own, the index of segments with the few substrings at which that
-segment can stand. Candidates that a built-in distance with a threshold does not discard are verified by a banded, bit-parallel automaton: one bit
-for each diagonal of the band, one mask for each number of edits. Segments that many lines
-share are joined together with the lines and verified within the join, so that their
-candidates are never written out.
+segment can stand. Candidates are verified by a banded, bit-parallel automaton: one bit
+for each diagonal of the band, one mask for each number of edits (``within``).
+
+A segment that many lines share is split, not joined all with all: what is left of such lines on
+the side where edits must be is cut into segments again, and only lines that share one of those too stay together. This
+goes on until groups are small or nothing is left to cut (``_pairs``).
 
 Lines within the threshold, directly or through others, are a class. Of a class with more than ``max_copies``
-lines in the corpus, or more than one if the line has ``long_chars`` code points, only the first, by document
-and place, stays. With ``copies_percent``, a line also stays in a document whose whole text is shown to be a copy, of at
-least that similarity, of the document of that first line: copies are left to the deduplication of documents. With
-``max_share``, a document of which more would go keeps all its lines, copy or not.
+lines in the corpus only the first, by document and place, stays. With ``copies_percent``, a line also stays in a document whose whole
+text is shown to be a copy, of at least that similarity, of the document of that first line: copies are left to the deduplication of
+documents.
 
 Defined results: a null text stays null and an empty one empty, with one line; rows with a null id
-are left alone; rows of one id are one document; lines shorter than ``min_chars`` are never
-removed; an empty table gives an empty result; other columns are kept by
-``dedup_documents`` and ignored otherwise.
+are left alone; rows of one id and one text are one document, counted once and all treated alike; of rows of one id with different texts each is a
+document, ordered by a hash of the text; lines shorter than ``min_chars`` are never removed; very long lines and texts are compared whole; of lines at
+one place of equal ids the hash decides which is first; lines are told apart by 128 bits of hash; an empty table gives an empty result; other columns, whatever
+their names, are kept by ``dedup_documents``.
 """
 
 from __future__ import annotations
@@ -30,25 +32,26 @@ from cairnlake.llm.components import components
 
 MAX_EDITS = 1
 MIN_CHARS = 24
-MAX_COPIES, LONG_CHARS = 6, 200
-MAX_SHARE = 0.5
-#: Segments that more lines share are verified within the join.
-COMMON = 16
+MAX_COPIES = 1
+#: A key under which more pairs would be compared is split.
+BUSY = 256
+#: Code points that the automaton reads at a time.
+BLOCK = 16
 #: Words of a shingle, and pairs with one first document that one task compares.
 WORDS, PAIRS = 5, 256
 
 
-def _segment(n: Column, k: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of k of a line of n code points; the last ones are longer by one."""
+def _segment(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i of k of n code points; the last ones are longer by one."""
     base = F.floor(n / k).cast("int")
     longer = n - base * k
     start = base * (i - 1) + F.greatest(F.lit(0), longer - (k - i + 1)) + 1
-    return start, base + (F.lit(i) > F.lit(k) - longer).cast("int")
+    return start.cast("int"), (base + (i > k - longer).cast("int")).cast("int")
 
 
 def _key(line: Column, n: Column, k: int, i: int, shift: int) -> Column:
     """Hash of what stands at segment i of a line of n code points, moved by ``shift``."""
-    start, length = _segment(n, k, i)
+    start, length = _segment(n, F.lit(k), F.lit(i))
     return F.xxhash64(F.lit(i), n, F.substring(line, start + shift, length))
 
 
@@ -66,17 +69,27 @@ def probes(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _looks(max_edits: int) -> list[tuple[int, int, int]]:
+    """The index, (0, segment, 0), and then all other probes."""
+    index = [(0, i, 0) for i in range(1, max_edits + 2)]
+    return index + [x for x in probes(max_edits) if x not in index]
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within ``edits`` edits: a bit-parallel automaton over the band of 2*edits+1 diagonals.
 
     Bit k of mask e is set if the code points of ``a`` read so far can become as many of ``b``, and
     k - edits more, by e edits. A step keeps the bits whose diagonal matches, and admits one edit more by
     substitution (same diagonal), deletion (one lower) or insertion (one higher).
+
+    Code points are read in blocks. While no edit was needed the masks hold all that e edits can reach, which a
+    block equal in both strings leaves as it is; once all masks are empty nothing follows. Neither is read further.
     """
-    full = (1 << (2 * edits + 1)) - 1
-    start = [sum(1 << k for k in range(edits, min(edits + e, 2 * edits) + 1)) for e in range(edits + 1)]
-    ca, cb = F.split(a, ""), F.split(b, "")
-    state = F.struct(F.lit(0).alias("j"), cb.alias("b"), *(F.lit(x).alias(f"r{e}") for e, x in enumerate(start)))
+    full, middle = (1 << (2 * edits + 1)) - 1, 1 << edits
+    start = [sum(1 << k for k in range(edits - e, edits + e + 1)) for e in range(edits + 1)]
+    names = [f"r{e}" for e in range(edits + 1)]
+    blocks = lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reach = -(-max(edits, 1) // BLOCK)  # blocks on each side that the band reaches into
 
     def step(s: Column, c: Column) -> Column:
         match = F.lit(0)
@@ -85,143 +98,212 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         def masks_of(m: Column) -> Column:
             masks: list[Column] = []
-            for e in range(edits + 1):
-                kept = s[f"r{e}"].bitwiseAND(m)
+            for e, name in enumerate(names):
+                kept = s[name].bitwiseAND(m)
                 if e:
-                    before = s[f"r{e - 1}"]
+                    before = s[names[e - 1]]
                     kept = kept.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(masks[e - 1], 1)).bitwiseAND(F.lit(full))
                 masks.append(kept)
-            return F.struct((s["j"] + 1).alias("j"), s["b"].alias("b"), *(x.alias(f"r{e}") for e, x in enumerate(masks)))
+            return F.struct((s["j"] + 1).alias("j"), s["b"].alias("b"), *(x.alias(n) for n, x in zip(names, masks, strict=True)))
 
         return F.get(F.transform(F.array(match), masks_of), 0)  # so that the match is computed once
 
+    def read(s: Column, i: Column) -> Column:
+        at = lambda j: F.coalesce(F.get(s["y"], j), F.lit(""))
+        left = F.concat(*(at(i - k) for k in range(reach, 0, -1)))
+        window = F.concat(left, at(i), *(at(i + k) for k in range(1, reach + 1)))
+        first = F.struct(F.length(left).alias("j"), F.split(window, "").alias("b"), *(s[n].alias(n) for n in names))
+        done = F.aggregate(F.split(F.get(s["x"], i), ""), first, step)
+        moved = F.get(F.transform(F.array(done), lambda z: F.struct(s["x"].alias("x"), s["y"].alias("y"), *(z[n].alias(n) for n in names))), 0)
+        same = (s["r0"] == middle) & F.coalesce(F.get(s["x"], i) == F.get(s["y"], i), F.lit(False))
+        return F.when((s[names[-1]] == 0) | same, s).otherwise(moved)
+
+    state = F.struct(blocks(a).alias("x"), blocks(b).alias("y"), *(F.lit(x).alias(n) for n, x in zip(names, start, strict=True)))
+    last = F.aggregate(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / BLOCK).cast("int")), state, read, lambda s: s[names[-1]])
     end = F.length(b) - F.length(a) + edits
-    last = F.aggregate(ca, state, step, lambda s: s[f"r{edits}"])
     reached = F.when((end < 0) | (end > 2 * edits), F.lit(False)).otherwise(F.call_function("shiftright", last, end).bitwiseAND(F.lit(1)) == 1)
     return F.when((a == "") | (b == ""), F.abs(F.length(a) - F.length(b)) <= edits).otherwise(reached)
 
 
-def verified(a: Column, b: Column, edits: int) -> Column:
-    """``within``, asked only of what a cheap built-in distance with a threshold lets through: few candidates are close."""
-    return F.when(F.levenshtein(a, b, edits) >= 0, within(a, b, edits)).otherwise(F.lit(False))
+def line_table(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
+    """(doc_id, t, line_no, h, g, n, k0, k1, ...) of each line that takes part; t: hash of the text, (h, g): of the line, n: code points, k: a key for each of ``_looks``."""
+    at = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    at = at.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, max_edits + 1))
+    keys = [_key(F.col("line"), F.col("n") - d, max_edits + 1, i, shift).alias(f"k{j}") for j, (d, i, shift) in enumerate(_looks(max_edits))]
+    return at.select("doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "n", *keys)
+
 
+def _each_key(at: DataFrame, max_edits: int, *columns: str) -> DataFrame:
+    """A row for each key of each line: ``columns``, key, look (which of ``_looks``)."""
+    looks = F.array(*(F.struct(F.col(f"k{j}").alias("key"), F.lit(j).alias("look")) for j in range(len(_looks(max_edits)))))
+    return at.select(*columns, F.explode(looks).alias("x")).select(*columns, "x.*")
 
-def edit_links(lines: DataFrame, max_edits: int) -> DataFrame:
-    """The pairs (a, b), a < b, of different lines (h, line), by h, that are within ``max_edits`` edits.
 
-    ``lines`` must be distinct; lines shorter than the number of segments are not joined.
+def _meet(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of lines of one key: those in the index, and those that probe it with them."""
+    index = rows.where("indexed").select("key", "id")
+    other = rows.select("key", "indexed", F.col("id").alias("o"))
+    met = index.join(other, "key").where("id <> o AND (NOT indexed OR id < o)")
+    return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows of busy keys under finer keys: ``m`` code points of the indexed line are left, from ``lo`` on ``len`` of the own, with ``t`` edits.
+
+    Of t + 1 segments of them one stands in both lines, with u - 1 edits at most left of segment u and t + 1 - u right of it. Edits are next looked for
+    on the right, or left of the last segment.
     """
-    k = max_edits + 1
-    rows = lines.where(F.length("line") >= k).withColumn("n", F.length("line"))
-    n = F.col("n")
-    # the index goes under difference 0 at its own place too: of two lines of one length the smaller h is the probe
-    index = rows.select("h", F.explode(F.array(*(_key(F.col("line"), n, k, i, 0) for i in range(1, k + 1)))).alias("key"))
-    every = F.array(*(F.struct(F.lit(d == 0).alias("same"), _key(F.col("line"), n - d, k, i, shift).alias("key")) for d, i, shift in probes(max_edits)))
-    probe = rows.where(F.length("line") >= k).select(F.col("h").alias("g"), F.explode(every).alias("x")).select("g", "x.*")
-    common = spool(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > COMMON).select("key"), "line-common")
-    small = broadcast_if_small(common)
-    apart = (F.col("g") != F.col("h")) & (~F.col("same") | (F.col("g") < F.col("h")))
-    pair = lambda df: df.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b")).distinct()
-
-    rare = pair(probe.join(index.join(small, "key", "left_anti"), "key").where(apart))
-    rare = spool(rare, "line-candidates")
-    ends = broadcast_if_small(spool(rare.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends"))
-    texts = spool(lines.join(ends, "h", "left_semi"), "line-texts")
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
-    found = rare.join(side("a"), "a").join(side("b"), "b").where(verified(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
-
-    both = F.array(*(F.struct(F.lit(True).alias("indexed"), F.lit(True).alias("same"), _key(F.col("line"), n, k, i, 0).alias("key")) for i in range(1, k + 1)))
-    looks = F.transform(every, lambda x: F.struct(F.lit(False).alias("indexed"), x["same"].alias("same"), x["key"].alias("key")))
-    busy = rows.select("h", F.explode(F.concat(both, looks)).alias("x")).select("h", "x.*").join(small, "key", "left_semi")
-    busy = spool(busy, "line-busy")
-    ends = broadcast_if_small(spool(busy.select("h").distinct(), "line-ends"))
-    texts_busy = spool(lines.join(ends, "h", "left_semi"), "line-texts")
-    left = busy.where("NOT indexed").select("key", "same", F.col("h").alias("g")).join(texts_busy.select(F.col("h").alias("g"), F.col("line").alias("x")), "g")
-    right = busy.where("indexed").select("key", "h").join(texts_busy.withColumnRenamed("line", "y"), "h")
-    met = left.join(right, (left["key"] == right["key"]) & apart & verified(F.col("x"), F.col("y"), max_edits))
-    return found.union(pair(met)).distinct()
-
-
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, h, n) of each line that takes part; n: code points."""
-    at = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return at.where(F.length("line") >= min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
+    t, m, size, lo = F.col("t"), F.col("m"), F.col("len"), F.col("lo")
+
+    def looks(u: Column) -> Column:
+        start, length = _segment(m, t + 1, u)
+        d = size - m
+        low = F.greatest(1 - u, d - (t + 1 - u))
+        high = F.least(u - 1, d + (t + 1 - u))
+
+        def look(shift: Column) -> Column:
+            used = start - 1 + length
+            right = u <= t
+            return F.struct(
+                F.xxhash64(F.col("key"), u, F.substring(F.col("line"), lo + start - 1 + shift, length)).alias("key"),
+                (F.col("indexed") & (shift == 0)).alias("indexed"),
+                F.when(right, m - used).otherwise(start - 1).cast("int").alias("m"),
+                F.when(right, lo + used + shift).otherwise(lo).cast("int").alias("lo"),
+                F.when(right, size - used - shift).otherwise(start - 1 + shift).cast("int").alias("len"),
+                F.when(right, t + 1 - u).otherwise(t).cast("int").alias("t"),
+            )
+
+        return F.when(low <= high, F.transform(F.sequence(low, high), look)).otherwise(F.array().cast("array<struct<key: bigint, indexed: boolean, m: int, lo: int, len: int, t: int>>"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), t + 1), looks))
+    return rows.select("id", "line", F.explode(every).alias("x")).select("id", "line", "x.*").where("len >= 0")
+
+
+def _with_load(rows: DataFrame) -> DataFrame:
+    """``rows`` whose key has lines to compare, with ``busy``: whether these are more than BUSY pairs."""
+    n, p = F.sum(F.col("indexed").cast("long")), F.sum((~F.col("indexed")).cast("long"))
+    load = rows.groupBy("key").agg(n.alias("n"), p.alias("p")).where("n > 0 AND n + p > 1").select("key", (F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.col("p") > BUSY).alias("busy"))
+    return rows.join(broadcast_if_small(spool(load, "line-load")), "key")
+
+
+def _pairs(entries: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Candidate pairs (a, b) of lines by id, from (key, look, id, n); keys of many lines are split until they are few."""
+    plan = F.array(*(F.struct(F.lit(j < max_edits + 1).alias("indexed"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for j, (d, i, shift) in enumerate(_looks(max_edits))))
+    rows = spool(_with_load(entries.withColumn("x", F.get(plan, F.col("look"))).select("key", "id", "n", "x.*")), "line-entries")
+    found = spool(_meet(rows.where("NOT busy")), "line-candidates")
+    busy = rows.where("busy")
+    if busy.isEmpty():
+        return found
+    m = F.col("n") - F.col("d")
+    start, length = _segment(m, F.lit(max_edits + 1), F.col("i"))
+    used, right = start - 1 + length, F.col("i") <= max_edits
+    busy = busy.select(
+        "key", "id", "indexed", F.when(right, m - used).otherwise(start - 1).cast("int").alias("m"), F.when(right, used + F.col("shift") + 1).otherwise(1).cast("int").alias("lo"),
+        F.when(right, F.col("n") - used - F.col("shift")).otherwise(start - 1 + F.col("shift")).cast("int").alias("len"), F.when(right, max_edits + 1 - F.col("i")).otherwise(max_edits).cast("int").alias("t"),
+    )
+    busy = busy.join(texts, "id")
+    while True:
+        rows = spool(_with_load(_split(busy)), "line-split")
+        last = F.col("m") <= F.col("t")  # too short to cut: such lines differ in these few code points only
+        found = found.union(spool(_meet(rows.where(~F.col("busy") | last)), "line-candidates"))
+        busy = rows.where(F.col("busy") & ~last).drop("busy")
+        if busy.isEmpty():
+            return found.distinct()
+
+
+def edit_links(at: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
+    """The pairs (a, b), a < b, of different lines of a spooled ``line_table`` that are within ``max_edits`` edits, as structs (h, g)."""
+    looked = _each_key(at, max_edits, "h").groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min("look").alias("look"))
+    shared = spool(looked.where((F.col("x") != F.col("y")) & (F.col("look") <= max_edits)).select("key"), "line-keys")
+    entries = _each_key(at, max_edits, "h", "g", "n", "doc_id", "t").join(broadcast_if_small(shared), "key")
+    entries = entries.groupBy("key", "look", "h", "g").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    entries = spool(entries.withColumn("id", F.struct("h", "g")), "line-entries")
+    want = spool(entries.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "line-wanted")
+    some = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(spool(want.select("doc_id").distinct(), "line-docs")), "doc_id", "left_semi")
+    lines = some.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("id", F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")))
+    texts = spool(lines.join(broadcast_if_small(want), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "line"), "line-texts")
+    pairs = spool(_pairs(entries.select("key", "look", "id", "n"), texts, max_edits), "line-pairs")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, s, n): hashes of the distinct five-word shingles of each id with words; rows of one id are one document."""
+    """(d, s, n): hashes of the distinct five-word shingles of each document (doc_id, hash of the text) with words."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select("doc_id", F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    rows = docs.select("d", F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     s = F.when(n < WORDS, F.array(F.xxhash64("w"))).otherwise(F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS))))
-    sets = rows.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
-    return sets.withColumn("n", F.size("s").cast("long"))
+    return rows.select("d", F.array_distinct(s).alias("s")).dropDuplicates(["d"]).withColumn("n", F.size("s").cast("long"))
 
 
 def copies(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (doc_id, first) of ids whose texts have a Jaccard similarity of ``percent`` or more.
+    """Those of the distinct pairs (d, first) of documents whose texts have a Jaccard similarity of ``percent`` or more.
 
     Sizes are compared first, then full sets. A document that is the first of many is dealt to several tasks.
     """
-    ends = spool(pairs.select(F.explode(F.array("doc_id", "first")).alias("doc_id")).distinct(), "line-ends")
-    sets = spool(shingle_sets(docs.select("doc_id", "text").join(broadcast_if_small(ends), "doc_id", "left_semi")), "line-sets")
-    sizes = sets.select("doc_id", "n")
-    firsts = broadcast_if_small(spool(pairs.select("first").distinct().join(sizes.select(F.col("doc_id").alias("first"), F.col("n").alias("m")), "first"), "line-firsts"))
-    likely = pairs.join(sizes, "doc_id").join(firsts, "first").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    likely = spool(likely.select("doc_id", "first"), "line-likely")
+    ends = spool(pairs.select(F.explode(F.array("d", "first")).alias("d")).distinct(), "line-ends")
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")).alias("d"), "text")
+    sets = spool(shingle_sets(named.join(broadcast_if_small(ends), "d", "left_semi")), "line-sets")
+    sizes = sets.select("d", "n")
+    firsts = broadcast_if_small(spool(pairs.select("first").distinct().join(sizes.select(F.col("d").alias("first"), F.col("n").alias("m")), "first"), "line-firsts"))
+    likely = pairs.join(sizes, "d").join(firsts, "first").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    likely = spool(likely.select("d", "first"), "line-likely")
     often = likely.groupBy("first").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
     busy = broadcast_if_small(spool(often.where("parts > 1"), "line-busy-firsts"))
     parts = F.coalesce("parts", F.lit(1))
-    left = likely.join(sets, "doc_id").join(busy, "first", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("parts")
-    right = often.join(sets.select(F.col("doc_id").alias("first"), F.col("s").alias("z"), F.col("n").alias("m")), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = likely.join(sets, "d").join(busy, "first", "left").withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).drop("parts")
+    right = often.join(sets.select(F.col("d").alias("first"), F.col("s").alias("z"), F.col("n").alias("m")), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     shared = F.size(F.array_intersect("s", "z")).cast("long")
-    met = left.join(right, ["first", "part"]).select("doc_id", "first", "n", "m", shared.alias("c"))
-    return met.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("doc_id", "first")
+    met = left.join(right, ["first", "part"]).select("d", "first", "n", "m", shared.alias("c"))
+    return met.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("d", "first")
 
 
-def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, copies_percent: int | None = None) -> DataFrame:
-    """(doc_id, n_links, repeated, chars) of documents with linked or repeated lines.
+def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None) -> DataFrame:
+    """(d, n_links, repeated) of documents (doc_id, hash of the text) with linked or repeated lines.
 
-    ``repeated``: the lines that may go, each with its class: document and place of the first line of it.
-    ``chars``: code points of the repeated lines.
+    ``repeated``: the lines that go, each with its class: document and place of the first line of it.
     ``n_links``: how many different lines its lines are linked with, summed.
     """
-    lines = docs.where("doc_id IS NOT NULL").select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= max(min_chars, max_edits + 1)).distinct()
-    lines = spool(lines.withColumn("h", F.xxhash64("line")), "lines")
-    links = spool(edit_links(lines, max_edits), "line-links")
+    at = spool(line_table(docs, min_chars, max_edits), "line-table")
+    links = spool(edit_links(at, docs, max_edits), "line-links")
     roots = components(links)
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    at = spool(line_table(docs, min_chars), "line-table")
-    first = at.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = spool(first.join(roots.join(degree, "node").withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).where("copies > 1 OR n_links > 0"), "line-first")
-    classes = first.groupBy("root").agg(F.sum("copies").alias("total"), F.min("first").alias("head"))
-    known = first.join(classes, "root")
-    known = spool(known.select("h", "head", "total", F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-known")
-    hit = at.join(broadcast_if_small(known), "h")
-    many = F.col("total") > F.when(F.col("n") >= long_chars, 1).otherwise(max_copies)
-    goes = many & (F.struct("doc_id", "line_no") != F.col("head"))
+    linked = spool(roots.join(degree, "node").select("node.h", "node.g", "root", "n_links"), "line-linked")
+    often = at.groupBy("h", "g").agg(F.count("*").alias("copies")).where("copies > 1").select("h", "g")
+    known = spool(often.join(linked, ["h", "g"], "full"), "line-known")
+    hit = at.select("doc_id", "t", "line_no", "h", "g").join(broadcast_if_small(known), ["h", "g"])
+    hit = hit.select("doc_id", "t", "line_no", F.coalesce("root", F.struct("h", "g")).alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per = hit.groupBy("doc_id", "t").agg(F.collect_set(F.struct("line_no", "root", "n_links")).alias("x"))  # rows of one document, once
+    per = spool(per.select(F.struct("doc_id", "t").alias("d"), "x"), "line-hits")
+    each = per.select("d", F.explode("x").alias("x")).select("d", "x.*")
+    classes = each.groupBy("root").agg(F.count("*").alias("total"), F.min(F.struct("d.doc_id", "line_no", "d.t")).alias("head")).where(F.col("total") > max_copies)
+    classes = spool(classes.select("root", "head"), "line-classes")
+    goes = each.join(broadcast_if_small(classes), "root").where(F.struct("d.doc_id", "line_no", "d.t") != F.col("head"))
+    goes = goes.select("d", F.struct("head.doc_id", "head.t").alias("first"), F.struct("line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line")).alias("x"))
     if copies_percent is not None:
-        other = hit.where(goes).select("doc_id", F.col("head.doc_id").alias("first")).where("doc_id <> first").distinct()
-        same = spool(copies(docs, spool(other, "line-pairs"), copies_percent).withColumn("copy", F.lit(True)), "line-copies")
-        hit = hit.withColumn("first", F.col("head.doc_id")).join(broadcast_if_small(same), ["doc_id", "first"], "left")
-        goes = goes & F.col("copy").isNull()
-    gone = F.when(goes, F.struct("line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line")))
-    return hit.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(gone)).alias("repeated"), F.sum(F.when(goes, F.col("n")).otherwise(0)).alias("chars")).where("n_links > 0 OR chars > 0")
-
-
-def dedup_documents(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, long_chars: int = LONG_CHARS, max_share: float | None = MAX_SHARE, copies_percent: int | None = None) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and columns _n_lines, _n_links, _repeated, _n_removed."""
-    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, long_chars=long_chars, copies_percent=copies_percent), "line-repeats")
-    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("n_links").alias("_n_links"), F.col("repeated").alias("_repeated"), F.col("chars").alias("_chars"))
-    both = docs.join(broadcast_if_small(repeats, F.size("_repeated") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    both = both.withColumn("_parts", F.split("text", "\n", -1))
-    goes = F.size("_repeated") > 0
-    if max_share is not None:
-        goes = goes & (F.col("_chars") <= F.length("text") * max_share)
-    both = both.withColumn("_n_removed", F.when(goes, F.size("_repeated")).otherwise(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_repeated.line_no"))
-    text = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
+        goes = spool(goes, "line-goes")
+        same = copies(docs, spool(goes.where("d <> first").select("d", "first").distinct(), "line-copied"), copies_percent)
+        goes = goes.join(broadcast_if_small(spool(same, "line-copies")), ["d", "first"], "left_anti")
+    gone = goes.groupBy("d").agg(F.array_sort(F.collect_list("x")).alias("repeated"))
+    total = per.select("d", F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["n_links"]).alias("n_links"))
+    return total.join(gone, "d", "left").where("n_links > 0 OR repeated IS NOT NULL")
+
+
+def dedup(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None) -> DataFrame:
+    """(row, text, n_lines, n_removed, n_links, repeated) of each row of ``docs``, which is ``row``; ``text`` is without repeated lines."""
+    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, copies_percent=copies_percent), "line-repeats")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")).alias("d"))
+    both = rows.join(broadcast_if_small(repeats), "d", "left")
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("repeated.line_no"))
+    kept = F.aggregate(F.array(F.split("text", "\n", -1)), F.lit(""), lambda _, p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))  # so that a text is split once
     none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
-    both = both.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")))
-    both = both.withColumn("text", F.when(F.col("_n_removed") > 0, text).otherwise(F.col("text"))).drop("_parts")
-    return both.withColumn("_n_links", F.coalesce("_n_links", F.lit(0))).withColumn("_repeated", F.coalesce("_repeated", none)).drop("_chars")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return both.select(
+        "row", F.when(F.col("repeated").isNotNull(), kept).otherwise(F.col("text")).alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("repeated").isNotNull(), F.size("repeated")).otherwise(0).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("repeated", none).alias("repeated"),
+    )
+
+
+def dedup_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without repeated lines, by the options of ``dedup``: all columns are kept, and ``text`` is what stays."""
+    return dedup(docs, **options).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -52,9 +52,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.dedup_documents(table(spark, sf_dir, "documents"))
-    said = F.array_join(F.transform("_repeated", lambda x: F.concat_ws(":", x["line_no"], x["class_doc"], x["class_line"])), ",")
-    return found.select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("_n_links").cast("long").alias("n_links"), said.alias("repeated"))
+    found = linedup.dedup(table(spark, sf_dir, "documents"))
+    said = F.array_join(F.transform("repeated", lambda x: F.concat_ws(":", x["line_no"], x["class_doc"], x["class_line"])), ",")
+    return found.select("row.doc_id", "text", "n_lines", "n_removed", "n_links", said.alias("repeated"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,9 +50,9 @@ r(line, c) AS (SELECT a, a FROM links UNION SELECT links.b, r.c FROM r JOIN link
 root AS (SELECT line, min(c) AS c FROM r GROUP BY 1),
 named AS (SELECT occ.*, coalesce(root.c, occ.line) AS c, coalesce(n_links, 0) AS n_links FROM occ LEFT JOIN root USING (line) LEFT JOIN degree USING (line)),
 class AS (SELECT c, count(*) AS total, min((doc_id, k)) AS head FROM named GROUP BY 1),
-hit AS (SELECT doc_id, k, n, n_links, struct_extract_at(head, 1) AS hd, struct_extract_at(head, 2) AS hk, total > CASE WHEN n >= 200 THEN 1 ELSE 6 END AND (doc_id, k) <> head AS goes FROM named JOIN class USING (c)),
-per AS (SELECT doc_id, sum(n_links)::BIGINT AS n_links, coalesce(sum(n) FILTER (goes), 0) AS chars, coalesce(count(*) FILTER (goes), 0) AS m, coalesce(string_agg(k || ':' || hd || ':' || hk, ',' ORDER BY k) FILTER (goes), '') AS repeated, coalesce(list(k) FILTER (goes), []) AS gone FROM hit GROUP BY 1),
-j AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS p, coalesce(n_links, 0) AS n_links, coalesce(repeated, '') AS repeated, gone, m, coalesce(m > 0 AND chars <= length(d.text) * 0.5, false) AS goes FROM documents d LEFT JOIN per USING (doc_id))
+hit AS (SELECT doc_id, k, n, n_links, struct_extract_at(head, 1) AS hd, struct_extract_at(head, 2) AS hk, total > 1 AND (doc_id, k) <> head AS goes FROM named JOIN class USING (c)),
+per AS (SELECT doc_id, sum(n_links)::BIGINT AS n_links, coalesce(count(*) FILTER (goes), 0) AS m, coalesce(string_agg(k || ':' || hd || ':' || hk, ',' ORDER BY k) FILTER (goes), '') AS repeated, coalesce(list(k) FILTER (goes), []) AS gone FROM hit GROUP BY 1),
+j AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS p, coalesce(n_links, 0) AS n_links, coalesce(repeated, '') AS repeated, gone, m, coalesce(m > 0, false) AS goes FROM documents d LEFT JOIN per USING (doc_id))
 SELECT doc_id, CASE WHEN goes THEN array_to_string(list_transform(list_filter(range(0, len(p)), lambda i: NOT list_contains(gone, i::INT)), lambda i: p[i + 1]), chr(10)) ELSE text END AS text,
  coalesce(len(p), 0)::BIGINT AS n_lines, CASE WHEN goes THEN m ELSE 0 END::BIGINT AS n_removed, n_links::BIGINT AS n_links, repeated FROM j
 """
