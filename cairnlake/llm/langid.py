@@ -1,34 +1,43 @@
 """Language identification of mixed text.
 
-Words are runs of letters. The script of a word narrows its candidates to the languages learned
+Words are runs of letters with the marks that follow them. The script of a word narrows its candidates to the languages learned
 in that script. Character n-grams and the word itself score it for each language; Viterbi
 with a switching penalty then labels the words of the whole text, so that spans of several
 languages come out. The language of most letters is the prediction, its share the score.
 
-The scores are learned from a bounded sample of labelled documents, those of lowest hash, and kept
-in a table of ``BUCKETS`` hashed features for each language.
+The scores are learned from a bounded sample of labelled documents, dealt evenly to the languages so that rare ones are
+learned too, and kept in a table of hashed features for each language, of ``TABLE_CELLS`` numbers at most in all. The table is
+broadcast. A worker scores each distinct word once while its ``CACHED_WORDS`` hold it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated
-rows are labelled row by row; with nothing to learn from, all are ``und``; an empty table
-gives an empty result; other columns are ignored.
+rows are labelled row by row; very long texts are labelled whole, in memory that grows with their words by some bits for each
+language; of languages with equally many letters the first by name is the prediction; with nothing to learn from, all are ``und``; rows with a null id are
+labelled but not learned from by the registered query; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.llm.common import slices
 
-#: Labelled documents that are learned from, at most, and languages told apart (the most frequent).
-TRAIN_DOCS, MAX_LANGS = 20_000, 200
-BUCKETS = 1 << 17
+#: Labelled documents that are learned from, at most.
+TRAIN_DOCS = 20_000
+#: Hashed features of a language, and numbers of the whole table at most: with very many languages each has fewer features.
+BUCKETS, TABLE_CELLS = 1 << 17, 1 << 27
+#: Distinct words of which a worker keeps the scores.
+CACHED_WORDS = 200_000
 #: Log-odds that a change of language between two words costs.
 SWITCH = 8.0
 #: What a word's score can speak for or against a language, at most.
@@ -52,12 +61,32 @@ _NAMES = sorted({s for _, _, s in SCRIPTS})
 _CODE = np.array([_NAMES.index(s) for _, _, s in SCRIPTS])
 OTHER = len(_NAMES)
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+@cache
+def _word() -> re.Pattern:
+    """A letter, and all letters and marks that follow it."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+
+    def ranges(of: str) -> str:
+        out, c = [], 0
+        while c < len(kinds):
+            if kinds[c] in of:
+                end = c
+                while end + 1 < len(kinds) and kinds[end + 1] in of:
+                    end += 1
+                out.append(f"\\U{c:08x}-\\U{end:08x}")
+                c = end
+            c += 1
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _word().findall(text.lower()) if text else []
 
 
 def _script(code_points: np.ndarray) -> np.ndarray:
@@ -91,22 +120,60 @@ def features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 @dataclass
 class Model:
     langs: list[str]
-    logs: np.ndarray  #: (languages, BUCKETS): log-probability of a feature over its mean for all languages
+    logs: np.ndarray  #: (languages, features): log-probability of a feature over its mean for all languages
     allowed: np.ndarray  #: (scripts + 1, languages)
 
     def score(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of scores for each word, and the words' lengths."""
         h, word, script, lengths = features(found)
+        h &= self.logs.shape[1] - 1
         out = np.stack([np.bincount(word, row[h], len(found)) for row in self.logs], 1)
         out = np.clip(out - out.max(1, keepdims=True), -CLIP, 0)
         return np.where(self.allowed[script], out, -2 * CLIP), lengths
 
 
+class Scorer:
+    """Scores of words, each computed once while it is kept."""
+
+    def __init__(self, model: Model, most: int = CACHED_WORDS) -> None:
+        self.model, self.most = model, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.rows = np.empty((0, len(self.model.langs)), np.float32)
+        self.lengths = np.empty(0, np.int64)
+
+    def ids(self, found: list[list[str]]) -> np.ndarray:
+        """Rows of ``self.rows`` for the words of all texts, one after the other; valid until the next call."""
+        if len(self.code) > self.most:
+            self._clear()
+        code = self.code
+        old = len(code)
+        out = np.fromiter((code.setdefault(w, len(code)) for words in found for w in words), np.int32)
+        fresh = islice(code, old, None)
+        rows, lengths = [self.rows], [self.lengths]
+        while part := list(islice(fresh, 100_000)):
+            scores, n = self.model.score(part)
+            rows.append(scores.astype(np.float32))
+            lengths.append(n)
+        if len(rows) > 1:
+            self.rows, self.lengths = np.concatenate(rows), np.concatenate(lengths)
+        return out
+
+
 def train(docs: DataFrame, usable: Column, *, rows: int = TRAIN_DOCS) -> Model:
-    """Learn from ``rows`` documents at most of those that are ``usable`` and have a text and a language."""
-    ids = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)  # of which at most ``rows`` are broadcast
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    """Learn from ``rows`` documents at most of those that are ``usable`` and have a text and a language: equally many of each language, as far as it has them, by hash."""
+    known = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.xxhash64("lang"), "lang").limit(rows)
+    sizes = counted.toArrow().sort_by("lang")  # a row for each language, at most ``rows``
+    quota = max(1, rows // max(1, sizes.num_rows))
+    rates = [(x, min(1.0, (quota + 4 * quota**0.5 + 8) / n)) for x, n in zip(*(sizes[c].to_pylist() for c in ("lang", "n")), strict=True)]
+    if not rates:
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.ones((OTHER + 1, 0), bool))
+    drawn = known.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double")), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # over the quota and a few of each language
+    sample = drawn.withColumn("place", place).where(F.col("place") <= quota).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -122,47 +189,51 @@ def train(docs: DataFrame, usable: Column, *, rows: int = TRAIN_DOCS) -> Model:
 
     got = sample.mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     lang, at, n = (got[c].to_numpy() for c in ("lang", "at", "n"))
-    totals = sorted(((-int(n[lang == x].sum()), x) for x in set(lang.tolist())))[:MAX_LANGS]
-    langs = sorted(x for _, x in totals)
-    counts = np.zeros((len(langs), BUCKETS + OTHER + 1))
-    for k, x in enumerate(langs):
-        own = lang == x
-        counts[k, at[own]] = n[own]
-    logs = np.log(counts[:, :BUCKETS] + 0.5)
-    logs -= np.log(counts[:, :BUCKETS].sum(1, keepdims=True) + 0.5 * BUCKETS)
+    langs = sorted(set(lang.tolist()))
+    buckets = min(BUCKETS, 1 << max(8, (TABLE_CELLS // max(1, len(langs))).bit_length() - 1))
+    counts, scripts = np.zeros((len(langs), buckets), np.float32), np.zeros((len(langs), OTHER + 1))
+    row = np.searchsorted(np.array(langs, object), lang) if langs else np.empty(0, int)
+    word = at < BUCKETS
+    np.add.at(counts, (row[word], at[word] & (buckets - 1)), n[word])
+    np.add.at(scripts, (row[~word], at[~word] - BUCKETS), n[~word])
+    logs = np.log(counts + 0.5)
+    logs -= np.log(counts.sum(1, keepdims=True, dtype=float) + 0.5 * buckets).astype(np.float32)
     logs -= logs.mean(0, keepdims=True) if langs else 0
-    script = counts[:, BUCKETS:] / np.maximum(1, counts[:, BUCKETS:].sum(1, keepdims=True))
+    script = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
     allowed = (script >= SCRIPT_SHARE).T
     return Model(langs, logs.astype(np.float32), np.where(allowed.any(1, keepdims=True), allowed, True))
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: float = SWITCH, ids: np.ndarray | None = None) -> np.ndarray:
     """The best label of each word of several texts at once.
 
-    The words of text k are rows first[k] to first[k] + counts[k] of ``scores``. All texts take
-    their t-th step together, longest first, so that those still running are a prefix.
+    The words of text k are rows first[k] to first[k] + counts[k] of ``scores``, or the rows of it that ``ids`` names there. All texts take
+    their t-th step together, longest first, so that those still running are a prefix. A bit for each word and label is kept.
     """
+    ids = np.arange(len(scores)) if ids is None else ids
     order = np.argsort(-counts, kind="stable")
     first, counts = first[order], counts[order]
     steps = int(counts[0]) if len(counts) else 0
     running = np.searchsorted(-counts, -np.arange(1, steps + 1), side="right")
-    best = scores[first].astype(np.float64)
-    stay = np.ones(scores.shape, bool)
-    other = np.zeros(len(scores), np.int16)
+    best = scores[ids[first]].astype(np.float64)
+    stay = np.zeros((len(ids), -(-scores.shape[1] // 8)), np.uint8)
+    other = np.zeros(len(ids), np.int32)
     for t in range(1, steps):
         rows = first[: running[t]] + t
         now = best[: running[t]]
         top = now.max(1)
         other[rows] = now.argmax(1)
-        stay[rows] = now >= (top - switch)[:, None]
-        best[: running[t]] = np.maximum(now, (top - switch)[:, None]) + scores[rows]
-    label = np.zeros(len(scores), np.int16)
-    at = best.argmax(1).astype(np.int16)
+        stay[rows] = np.packbits(now >= (top - switch)[:, None], axis=1)
+        best[: running[t]] = np.maximum(now, (top - switch)[:, None]) + scores[ids[rows]]
+    label = np.zeros(len(ids), np.int32)
+    at = best.argmax(1).astype(np.int32)
     for t in range(steps - 1, -1, -1):
         rows = first[: running[t]] + t
         now = at[: running[t]]
         label[rows] = now
-        at[: running[t]] = np.where(stay[rows, now], now, other[rows])
+        if t:
+            same = (stay[rows, now >> 3] >> (7 - (now & 7)).astype(np.uint8)) & 1
+            at[: running[t]] = np.where(same, now, other[rows])
     return label
 
 
@@ -178,19 +249,18 @@ def _blocks(texts: list[str | None]) -> Iterator[list[list[str]]]:
         yield block
 
 
-def label(found: list[list[str]], model: Model) -> list[tuple[str, float, list[dict]]]:
+def label(found: list[list[str]], model: Model, scorer: Scorer | None = None) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text, given as its words; spans hold the language, first and last word."""
     out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(found)
     full = [k for k, w in enumerate(found) if w]
     if not full or not model.langs:
         return out
-    code: dict[str, int] = {}
-    ids = np.fromiter((code.setdefault(w, len(code)) for k in full for w in found[k]), np.int64)
-    scores, lengths = model.score(list(code))
+    scorer = scorer or Scorer(model)
+    ids = scorer.ids([found[k] for k in full])
     counts = np.array([len(found[k]) for k in full])
     first = np.cumsum(counts) - counts
-    labels = viterbi(scores[ids], first, counts)
-    chars = lengths[ids]
+    labels = viterbi(scorer.rows, first, counts, ids=ids)
+    chars = scorer.lengths[ids]
     for k, a, n in zip(full, first.tolist(), counts.tolist(), strict=True):
         own = labels[a : a + n]
         share = np.bincount(own, chars[a : a + n], len(model.langs))
@@ -204,11 +274,13 @@ def label(found: list[list[str]], model: Model) -> list[tuple[str, float, list[d
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each document."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+        scorer = Scorer(held.value)
         for b in slices(batches):
-            got = [x for block in _blocks(b.column("text").to_pylist()) for x in label(block, model)]
+            got = [x for block in _blocks(b.column("text").to_pylist()) for x in label(block, held.value, scorer)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], span)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first: int, last: int>>")

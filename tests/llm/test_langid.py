@@ -37,6 +37,27 @@ def test_mixed_texts_are_cut_into_spans(model):
     assert lang in SYLLABLES and 0 < score < 1
 
 
+def test_words_are_letters_with_their_marks():
+    assert g.words("हिन्दी भाषा x² ½ ¼ a1b2 _c_ l'été e\u0301a") == ["हिन्दी", "भाषा", "x", "a", "b", "c", "l", "été", "e\u0301a"]
+    assert g.words("² ½ ¼ 123 _ \u0301 !") == []
+    assert all(g.words(c) == ([c.lower()] if c.isalpha() else []) for c in map(chr, range(0x3000)) if len(c.lower()) == 1)
+
+
+def test_rare_languages_are_learned(make):
+    rnd = random.Random(8)
+    rows = [(k, say("aa", 8, rnd), "aa", "s") for k in range(300)] + [(1000 + k, say("bb", 8, rnd), "bb", "s") for k in range(6)]
+    small = g.train(make(rows), F.lit(True), rows=40)
+    assert small.langs == ["aa", "bb"]
+    assert all(g.label([g.words(say(x, 20, rnd))], small)[0][0] == x for x in ("aa", "bb") for _ in range(10))
+
+
+def test_words_that_are_kept_score_the_same(model):
+    rnd = random.Random(6)
+    texts = [g.words(say(rnd.choice("abc") * 2, rnd.randint(0, 40), rnd)) for _ in range(40)]
+    scorer = g.Scorer(model, most=10)
+    assert [g.label([t], model, scorer)[0] for t in texts] == g.label(texts, model)
+
+
 def test_viterbi_against_brute_force():
     rnd = np.random.default_rng(0)
     counts = np.array([3, 5, 1, 4])
@@ -51,11 +72,13 @@ def test_viterbi_against_brute_force():
         assert abs(value(tuple(got[a : a + n])) - value(best)) < 1e-9
 
 
-def test_edges(edges, nothing, model):
+def test_edges(edges, nothing, make, model):
     got = {r["doc_id"]: r for r in g.identify(edges, model).collect()}
     assert len(g.identify(edges, model).collect()) == len(EDGES)
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (2, 3, 4))
     assert got[8]["lang_pred"] in SYLLABLES
+    marks = g.identify(make([(1, "½ ² ¼", None, None), (2, "\u0301 1", None, None)]), model).collect()
+    assert [r["lang_pred"] for r in marks] == ["und", "und"]
     assert g.identify(nothing, model).count() == 0
     empty = g.train(nothing, F.lit(True))
     assert {r["lang_pred"] for r in g.identify(edges, empty).collect()} == {"und"}
