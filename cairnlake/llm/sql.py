@@ -8,11 +8,14 @@ _LEAVES = (
     + _CUT
     + "$') THEN [''] ELSE [] END), lambda x: substr(sha256(x), 1, 32)))"
 )
-_LABELS = "list_transform(flatten({v}), lambda x: substr(x, 1, 12))"
+_LABELS = "list_sort(list_distinct(list_transform(flatten({v}), lambda x: substr(x, 1, 12))))[1:64]"
 _PARAGRAPHS = "list_transform({v}, lambda p: substr(sha256('p' || array_to_string(p, '')), 1, 32))"
 _ENDS = "list_filter(range(1, len({n}) + 1), lambda i: i = len({n}) OR regexp_matches({n}[i], '^[01]'))"
 _ROOT = "sha256('r' || array_to_string(list_transform(range(1, len({e}) + 1), lambda j: substr(sha256('s' || array_to_string({n}[CASE WHEN j > 1 THEN {e}[j - 1] ELSE 0 END + 1 : {e}[j]], '')), 1, 32)), ''))"
-_NEAR = "2.0::DOUBLE * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b})))"
+_BOTH = "list_sort(list_distinct(list_concat({a}, {b})))"
+_HOLD = "CASE WHEN len({a}) < 64 AND len({b}) < 64 THEN len({u}) ELSE least(len({u}), 64) END"
+_NEAR = "2.0::DOUBLE * len(list_intersect({u}[1:{n}], list_intersect({a}, {b}))) / ({n} + len(list_intersect({u}[1:{n}], list_intersect({a}, {b}))))"
+_HEAD = "coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i]), true) - 1, len({a}))"
 
 MERKLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -20,9 +23,12 @@ n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) O
 e AS (SELECT doc_id, t, nx, length(t)::BIGINT AS n_chars, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM n),
 v AS (SELECT *, {_LEAVES.format(t="t")} AS lt, {_LEAVES.format(t="ed")} AS le, {_LEAVES.format(t="nx")} AS ln FROM e),
 p AS (SELECT *, {_PARAGRAPHS.format(v="lt")} AS pt, {_PARAGRAPHS.format(v="le")} AS pe, {_LABELS.format(v="lt")} AS a, {_LABELS.format(v="le")} AS b, {_LABELS.format(v="ln")} AS c FROM v),
-s AS (SELECT *, {_ENDS.format(n="pt")} AS et, {_ENDS.format(n="pe")} AS ee FROM p)
+s AS (SELECT *, {_ENDS.format(n="pt")} AS et, {_ENDS.format(n="pe")} AS ee, {_BOTH.format(a="a", b="b")} AS ab, {_BOTH.format(a="a", b="c")} AS ac, {_HEAD.format(a="pt", b="pe")} AS h, {_HEAD.format(a="list_reverse(pt)", b="list_reverse(pe)")} AS r FROM p),
+q AS (SELECT *, {_HOLD.format(a="a", b="b", u="ab")} AS nb, {_HOLD.format(a="a", b="c", u="ac")} AS nc, least(r, least(len(pt), len(pe)) - h) AS z, coalesce(lt[h + 1], []) AS x, coalesce(le[h + 1], []) AS y FROM s)
 SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_ROOT.format(n="pt", e="et")} || ':' || array_to_string(a, '') AS fingerprint, {_ROOT.format(n="pe", e="ee")} || ':' || array_to_string(b, '') AS edited_fingerprint,
- {_NEAR.format(a="a", b="b")} AS near_edited, {_NEAR.format(a="a", b="c")} AS near_next FROM s
+ {_NEAR.format(a="a", b="b", u="ab", n="nb")} AS near_edited, {_NEAR.format(a="a", b="c", u="ac", n="nc")} AS near_next,
+ CASE WHEN t <> ed THEN h END::INT AS edit_first, CASE WHEN t <> ed THEN len(pt) - z END::INT AS edit_last, CASE WHEN t <> ed THEN len(pe) - z END::INT AS edit_other_last,
+ CASE WHEN t <> ed THEN {_HEAD.format(a="x", b="y")} END::INT AS edit_piece FROM q
 """
 
 NEAR_DUPLICATES = r"""

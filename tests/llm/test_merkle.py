@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,11 +40,61 @@ def test_many_ranges(make, monkeypatch):
 
 
 def test_edits_are_located(make):
-    docs = m.tree(make([(1, "a\nb\nc", None, None), (2, "a\nX\nc", None, None)]), "text").orderBy("doc_id").collect()
-    a, b = docs[0]["paragraphs"], docs[1]["paragraphs"]
-    got = make([(1, "", None, None)]).select(m.differing(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias("x")).first()["x"]
-    assert got == [1] and docs[0]["root"] != docs[1]["root"]
-    assert sum(s["n"] for s in docs[0]["sections"]) == 3
+    """Edits of every sort, against trimming equal paragraphs and pieces from both ends."""
+    rnd = random.Random(4)
+    line = lambda: " ".join(rnd.choice(["one,", "two.", "three", "four;", "five", "é😀"]) for _ in range(rnd.randint(0, 6)))
+    rows = []
+    for _ in range(150):
+        a = [line() for _ in range(rnd.randint(1, 25))]
+        b = list(a)
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(3)] = rnd.choice([[], [line()], b[:1], [line(), line()]])
+        rows.append(("\n".join(a), "\n".join(b)))
+    df = make([]).sparkSession.createDataFrame(rows, "a string, b string")
+    out = m.differing(m.tree(m.tree(df, "a"), "b", "edited_")).select("a", "b", "edit_first", "edit_last", "edit_other_last", "edit_piece").collect()
+
+    def head(x, y):
+        k = 0
+        while k < min(len(x), len(y)) and x[k] == y[k]:
+            k += 1
+        return k
+
+    for r in out:
+        x, y = r["a"].split("\n"), r["b"].split("\n")
+        if r["a"] == r["b"]:
+            assert r["edit_first"] is r["edit_last"] is r["edit_piece"] is None
+            continue
+        first = head(x, y)
+        tail = min(head(x[::-1], y[::-1]), min(len(x), len(y)) - first)
+        assert (r["edit_first"], r["edit_last"], r["edit_other_last"]) == (first, len(x) - tail, len(y) - tail)
+        cut = lambda z: re.split(m.PIECE, z[first]) if first < len(z) else []
+        assert r["edit_piece"] == head(cut(x), cut(y))
+
+
+def test_fingerprints_are_bounded_and_alike_as_texts_are(make):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgmpy") for _ in range(4))
+    base = [word() for _ in range(3000)]
+    rows = [(k, " ".join(base[: 3000 - 300 * k] + [word() for _ in range(300 * k)]), "en", "s") for k in range(10)]
+    docs = m.tree(make(rows), "text").select("doc_id", "text", m.labels(F.col("leaves")).alias("x"), F.array_distinct(F.transform(F.flatten("leaves"), lambda x: F.left(x, F.lit(m.LEAF)))).alias("all")).orderBy("doc_id").collect()
+    assert all(len(r["x"]) == m.SKETCH for r in docs)
+    for r in docs[1:]:
+        a, b = set(docs[0]["all"]), set(r["all"])
+        near = make([(1, "", None, None)]).select(m.likeness(F.array(*map(F.lit, docs[0]["x"])), F.array(*map(F.lit, r["x"]))).alias("x")).first()["x"]
+        assert abs(near - 2 * len(a & b) / (len(a) + len(b))) < 0.2
+
+
+def test_ids_that_many_rows_share(make, monkeypatch):
+    """Rows of one id, and of none, are cut by the hash of their text, and each finds its next."""
+    monkeypatch.setattr(m, "RANGE_ROWS", 4)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k}", None, None) for k in range(240)]
+    docs = make(rows)
+    assert len(m._bounds(docs)) > 40
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    down = sorted(found, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    got = {r["text"]: r["next_text"] for r in m.with_next(docs).collect()}
+    assert got == {r["text"]: down[(k + 1) % len(down)]["text"] for k, r in enumerate(down)}
 
 
 def test_edges(edges, nothing, make):
