@@ -6,12 +6,12 @@ each pattern to the quotas of its sources; a pattern's words may be used up to
 flow fixes how many words each pattern gives: whole epochs of all its documents, and one
 more of those first in the order of a seeded hash.
 
-Only sums by pattern and by 1/4096 of the hash range reach the driver or one task; the exact order
-is needed only inside the one hash bucket in which a pattern's remainder ends.
+Only sums by pattern and by part of the hash range reach the driver or one task: first by 1/4096 of the range, then by 1/4096 of the part in
+which a pattern's remainder ends. The exact order is needed only inside the one of these parts in which it ends.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source
-of its own, last in order; repeated rows count each; ties of the hash are ordered by id
-and size; an empty table gives an empty result; other columns are ignored.
+of its own, last in order; repeated rows count each; very long texts are counted whole; ties of the hash are ordered by id
+and size; more than ``MAX_PATTERNS`` different sets of sources are an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weight: Callable[[int], float], *, members: Column | No
     along = ["row"] if carry else []
     slim = docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
     slim = slim.select("doc_id", "size", "members", *along, F.to_json("members", {"ignoreNullFields": "false"}).alias("pattern"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    slim = spool(slim.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")), "mix")
+    part = lambda level: F.shiftrightunsigned("h", 64 - level * BUCKET_BITS).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    slim = spool(slim.withColumn("bucket", part(1)).withColumn("inner", part(2)), "mix")
     buckets = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("members").alias("members"))
     rows = buckets.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
@@ -137,16 +138,26 @@ def mix(docs: DataFrame, weight: Callable[[int], float], *, members: Column | No
         plan.append((r["pattern"], sum(sizes[s] for s in r["members"]), float(sum(want[s] for s in r["members"])), whole, rest))
     schema = "pattern string, source_size long, target double, whole long, rest long"
     plans = spark.createDataFrame(plan, schema)
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ends = buckets.select("pattern", "bucket", "words", upto.alias("upto")).join(F.broadcast(plans), "pattern").where("upto - words < rest AND rest <= upto")
-    cuts = {r["pattern"]: (r["bucket"], r["rest"] - r["upto"] + r["words"]) for r in ends.select("pattern", "bucket", "rest", "upto", "words").collect()}
-    known = spark.createDataFrame([(*p[:4], *cuts.get(p[0], (-1, 0))) for p in plan], "pattern string, source_size long, target double, whole long, cut int, inside long")
+    upto = lambda at: F.sum("words").over(Window.partitionBy("pattern").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+
+    def ends(parts: DataFrame, at: str) -> dict[str, tuple[int, int]]:
+        """The part of each pattern in which its remainder ends, and how much of the remainder is left there."""
+        found = parts.withColumn("upto", upto(at)).where("upto - words < rest AND rest <= upto")
+        return {r["pattern"]: (r[at], r["rest"] - r["upto"] + r["words"]) for r in found.select("pattern", at, "rest", "upto", "words").collect()}
+
+    cuts = ends(buckets.join(F.broadcast(plans.select("pattern", "rest")), "pattern"), "bucket")
+    first = F.broadcast(spark.createDataFrame([(p, *x) for p, x in cuts.items()], "pattern string, cut int, rest long"))
+    inner = slim.join(first, "pattern").where("bucket = cut").groupBy("pattern", "inner", "rest").agg(F.sum("size").alias("words"))
+    inside = ends(inner, "inner")
+    known = spark.createDataFrame([(*p[:4], cuts.get(p[0], (-1, 0))[0], *inside.get(p[0], (-1, 0))) for p in plan], "pattern string, source_size long, target double, whole long, cut int, inner_cut int, inside long")
     # a row for each pattern: at most MAX_PATTERNS, so it may be broadcast
-    all_rows = slim.select("doc_id", "size", "pattern", "h", "bucket", *along).join(F.broadcast(known), "pattern")
-    plain = all_rows.where("bucket <> cut").withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+    all_rows = slim.select("doc_id", "size", "pattern", "h", "bucket", "inner", *along).join(F.broadcast(known), "pattern")
+    at_end = (F.col("bucket") == F.col("cut")) & (F.col("inner") == F.col("inner_cut"))
+    before = (F.col("bucket") < F.col("cut")) | (F.col("bucket") == F.col("cut")) & (F.col("inner") < F.col("inner_cut"))
+    plain = all_rows.where(~at_end).withColumn("extra", F.when(before, F.col("size")).otherwise(F.lit(0)))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    at_cut = all_rows.where("bucket = cut").withColumn("upto", F.sum("size").over(order))
+    at_cut = all_rows.where(at_end).withColumn("upto", F.sum("size").over(order))
     room = F.col("inside") - F.col("upto") + F.col("size")
-    part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole_only else F.greatest(F.lit(0), F.least(F.col("size"), room))
-    at_cut = at_cut.withColumn("extra", part.cast("long")).drop("upto")
+    some = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole_only else F.greatest(F.lit(0), F.least(F.col("size"), room))
+    at_cut = at_cut.withColumn("extra", some.cast("long")).drop("upto")
     return plain.unionByName(at_cut).select("doc_id", "size", *along, "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))

@@ -22,8 +22,9 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    found = langid.identify(docs, langid.train(docs, ~held_out))
+    side = F.crc32(F.col("doc_id").cast("string")) % 5  # null for a null id, which is neither held out nor learned from
+    held_out = F.coalesce(side == 0, F.lit(False))
+    found = langid.identify(docs, langid.train(docs, side != 0))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
@@ -31,6 +32,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), lambda k: 1 + k % 3)
 
 
+def mixing_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that belong to two sources each, their own and one for their language, so that the flow must choose."""
+    both = F.array("source", F.concat(F.lit("lang "), F.coalesce("lang", F.lit("none"))))
+    return mixing.mix(table(spark, sf_dir, "documents"), lambda k: 1 + k % 3, members=both)
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(table(spark, sf_dir, "documents"))
 
@@ -58,7 +65,7 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "mixing_")) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
