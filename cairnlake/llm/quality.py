@@ -5,7 +5,8 @@ with a logistic loss and monotonic constraints, flattened into numpy node arrays
 scored for a whole Arrow batch at a time.
 
 Defined results: null and empty texts have zero counts and fail the base rule; repeated
-rows and repeated ids are judged row by row; an empty table gives an empty result; with
+rows and repeated ids are judged row by row; of rows of one labelled id the least text is learned from; very long texts are counted
+whole; a score exactly at the threshold is kept, and equal hashes of ids are ordered by id; an empty table gives an empty result; with
 no usable labels the trees are a constant that accepts; other columns, whatever their
 names, are passed through by ``keep_good`` and ignored by ``judge``.
 """
@@ -176,8 +177,8 @@ def _grow(nodes, binned, edges, g, h, signs, depth, rate, ridge, least) -> np.nd
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents, taken by the hash of their id."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
