@@ -16,7 +16,8 @@ Work is kept linear in groups of copies without losing a link between different
   differences to a pivot overlap enough, an exact prefix filter, so that no possible link is left out.
 
 Defined results: null and empty texts have no set, link with nothing and are kept; rows with a
-null id are kept, in no component; rows of one id are one document; an empty table gives an
+null id are kept, in no component; rows of one id are one document, of which any copy of the least id is kept; very long texts are
+sketched whole; a pair exactly at the threshold is a link; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -207,7 +208,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Sets x and y differ as much as their differences to the pivot differ, and those are
     short. For x and y to be close, their differences must share t elements, which their lengths
     give; with elements ordered rarest first, both must have t elements from the first
-    shared one on. This drops no possible pair but those near the pivot on both sides, whose
+    shared one on, for the largest partner already before the join. This drops no possible pair but those near the pivot on both sides, whose
     pairs with the pivot are given. Elements that no other difference has are counted, not joined.
     """
     s = sets.select("node", "shingles")
@@ -218,9 +219,11 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = each.groupBy("p", "e").agg(F.count("*").alias("f")).where("f > 1")
     ranked = each.join(often, ["p", "e"]).groupBy("p", "node").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("d"))
     ranked = both.drop("d").join(ranked, ["p", "node"]).select("p", "node", "n", "root", "size", F.posexplode("d").alias("at", "x"), (F.col("size") - F.size("d")).alias("alone"))
-    ranked = spool(ranked.select("p", F.col("x.e").alias("e"), "node", "n", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "near-ranked")
-    other = ranked.select("p", "e", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "size", "left")))
     most = lambda total: total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)  # noqa: E731  that close sets differ in
+    ranked = ranked.select("p", F.col("x.e").alias("e"), "node", "n", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"))
+    own = F.col("size") - most(F.col("n") + F.floor(F.col("n") * 100 / percent)) - 2  # what any close set, of a size it can have, must share from here on
+    ranked = spool(ranked.where(F.col("left") >= own), "near-ranked")
+    other = ranked.select("p", "e", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "size", "left")))
     need = F.col("size") + F.col("size_") - most(F.col("n") + F.col("n_"))
     met = ranked.join(other, ["p", "e"]).where("node < node_ AND root <> root_").where((2 * F.col("left") >= need) & (2 * F.col("left_") >= need))
     near = both.where(F.col("size") <= most(F.col("n") + F.col("m"))).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))

@@ -10,7 +10,7 @@ A shard is a bounded block of rows, so that neither a task's memory nor its time
 the size of the corpus, and a lost task redoes its shards only.
 
 Defined results: a document without words gets one row without a bin; repeated rows are
-packed each; ties are ordered by id; an empty table gives an empty result; other columns are
+packed each; very long texts are cut into pieces of the largest capacity; ties are ordered by id; an empty table gives an empty result; other columns are
 ignored.
 """
 
