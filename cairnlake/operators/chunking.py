@@ -84,8 +84,8 @@ def cut_points(data: bytes, average: int) -> list[int]:
     return ends
 
 
-def content_chunks(blobs: DataFrame, key: str, data: Column, average: int = 1024) -> DataFrame:
-    """(key, ord, chunk, size): content-defined chunks of each BINARY payload."""
+def content_chunks(blobs: DataFrame, key: str, data: Column, average: int = 1024, *, with_data: bool = False) -> DataFrame:
+    """(key, ord, chunk, size[, data]): content-defined chunks of each BINARY payload."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +94,24 @@ def content_chunks(blobs: DataFrame, key: str, data: Column, average: int = 1024
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 start = 0
                 for o, end in enumerate(cut_points(raw or b"", average)):
-                    rows.append((k, o, hashlib.sha256(raw[start:end]).hexdigest(), end - start))
+                    rows.append((k, o, hashlib.sha256(raw[start:end]).hexdigest(), end - start, raw[start:end]))
                     start = end
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((b.schema.types[0], pa.int64(), pa.string(), pa.int64()))], [key, "ord", "chunk", "size"])
+            types = (b.schema.types[0], pa.int64(), pa.string(), pa.int64(), pa.binary())[: 5 if with_data else 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [key, "ord", "chunk", "size", "data"][: len(types)])
 
     slim = blobs.select(key, data.alias("_data"))
-    return slim.mapInArrow(run, f"{key} {slim.schema[key].dataType.simpleString()}, ord long, chunk string, size long")
+    return slim.mapInArrow(run, f"{key} {slim.schema[key].dataType.simpleString()}, ord long, chunk string, size long" + (", data binary" if with_data else ""))
+
+
+def read_range(manifest: DataFrame, chunks: DataFrame, key: str, offset: int, length: int) -> DataFrame:
+    """(key, data): bytes [offset, offset + length) of each payload that a manifest (key, ord, chunk, size) puts together from chunks (chunk, data).
+
+    Only chunks that overlap the range are read. A missing or damaged one makes the result null.
+    """
+    at = overlapping(manifest, key, offset, length).join(chunks.select("chunk", F.col("data").alias("_data")), "chunk", "left")
+    ok = F.col("_data").isNotNull() & (F.sha2("_data", 256) == F.col("chunk"))
+    low = F.greatest(F.lit(offset) - F.col("start"), F.lit(0)).cast("int")
+    high = F.least(F.lit(offset + length) - F.col("start"), F.col("size")).cast("int")
+    part = F.when(ok, F.substring("_data", low + 1, high - low))
+    got = at.groupBy(key).agg(F.bool_and(ok).alias("_ok"), F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))).alias("_parts"))  # the chunks of one range
+    return got.select(key, F.when(F.col("_ok"), F.unhex(F.array_join(F.transform("_parts", lambda x: F.hex(x["part"])), ""))).alias("data"))

@@ -32,22 +32,32 @@ def prefix_end(prefix: bytes) -> bytes | None:
     return None
 
 
-def raw_prefix(key: Column, prefix: bytes, after: bytes | None = None) -> Column:
-    """A range condition on a BINARY column that reaches the scan: keys with a raw prefix, beyond a cursor."""
+def text_prefix_end(prefix: str) -> str | None:
+    """The same for texts, which are ordered by their bytes as UTF-8, so by code points; surrogates are skipped."""
+    for k in range(len(prefix) - 1, -1, -1):
+        c = ord(prefix[k]) + 1
+        c = 0xE000 if 0xD800 <= c <= 0xDFFF else c
+        if c <= 0x10FFFF:
+            return prefix[:k] + chr(c)
+    return None
+
+
+def raw_prefix(key: Column, prefix: bytes | str, after: bytes | str | None = None) -> Column:
+    """A range condition that reaches the scan: keys with a raw prefix, beyond a cursor. Bytes for a BINARY column, text for a string column."""
     if after is not None and not after.startswith(prefix):
         raise ValueError("the cursor is outside the prefix")
     where = key >= F.lit(prefix)
-    if (end := prefix_end(prefix)) is not None:
+    if (end := prefix_end(prefix) if isinstance(prefix, bytes) else text_prefix_end(prefix)) is not None:
         where &= key < F.lit(end)
     return where & (key > F.lit(after)) if after is not None else where
 
 
-def page(table: DataFrame, key: str, limit: int, after: object = None) -> DataFrame:
-    """The ``limit`` rows of least key beyond ``after``: a keyset page."""
+def page(table: DataFrame, key: str, limit: int, after: object = None, *, ties: list[str] | None = None) -> DataFrame:
+    """The ``limit`` rows of least key beyond ``after``: a keyset page. ``ties`` order rows of one key."""
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
     rows = table if after is None else table.where(F.col(key) > F.lit(after))
-    return rows.orderBy(key).limit(limit)
+    return rows.orderBy(key, *(ties or [])).limit(limit)
 
 
 def page_bytes(table: DataFrame, key: str, size: Column, limit: int, most: int, after: object = None) -> DataFrame:
@@ -72,3 +82,9 @@ def first_conflicts(checks: DataFrame, current: DataFrame, key: str, batch: str
     """For each batch of checks (batch, ordinal, key, expected) the least ordinal whose expectation fails; none if all hold."""
     met = checks.join(current.select(F.col(key), F.col("value").alias("_now")), key, "left")
     return met.where(~F.col("expected").eqNullSafe(F.col("_now"))).groupBy(batch).agg(F.min("ordinal").alias("first_conflict"))
+
+
+def first_inserts(rows: DataFrame, keys: list[str], order: list[str], name: str = "inserted") -> DataFrame:
+    """Rows with whether each is the one that inserts its key: the least of it by ``order``, which must tell its rows apart. No window sorts a hot key."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    return rows.join(first, keys).withColumn(name, F.struct(*order) == F.col("_first")).drop("_first")

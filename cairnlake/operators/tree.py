@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.plans.spool import spool
+
 
 def parts(path: Column) -> Column:
     """Non-empty components of a slash-separated path."""
@@ -38,11 +40,14 @@ def conflicts(paths: DataFrame, path: str = "path") -> DataFrame:
     return twice.union(p.distinct().join(above, "path", "left_semi").select("path", F.lit("file as directory").alias("kind")))
 
 
-def resolve(wanted: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+def resolve(wanted: DataFrame, entries: DataFrame, depth: int | None = None) -> DataFrame:
     """Walk paths (path_id, components) from entries (dir, name, child) of the root "": one join per component.
 
-    (path_id, child, steps): the node reached, null if a component is missing, and the components resolved.
+    (path_id, child, steps): the node reached, null if a component is missing, and the components resolved. ``depth``: components that are
+    walked, all by default; a longer path has no child.
     """
+    if depth is None:
+        depth = wanted.agg(F.max(F.size("components"))).first()[0] or 0
     at = wanted.withColumn("node", F.lit("")).withColumn("steps", F.lit(0).cast("long"))
     e = entries.select(F.col("dir").alias("_dir"), F.col("name").alias("_name"), "child")
     for k in range(depth):
@@ -51,7 +56,7 @@ def resolve(wanted: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
         at = at.join(e, (F.col("node") == F.col("_dir")) & (F.col("_want") == F.col("_name")), "left")
         done = F.size("components") <= k
         at = at.withColumn("node", F.when(done, F.col("node")).otherwise(F.col("child"))).withColumn("steps", F.col("steps") + (~done & F.col("child").isNotNull()).cast("long")).select("path_id", "components", "node", "steps")
-    return at.select("path_id", F.col("node").alias("child"), "steps")
+    return at.select("path_id", F.when(F.size("components") <= depth, F.col("node")).alias("child"), "steps")
 
 
 def merge_layers(entries: DataFrame, whiteouts: DataFrame) -> DataFrame:
@@ -83,36 +88,44 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def follow_refs(refs: DataFrame, hops: int) -> DataFrame:
-    """(name, target, hops): where symbolic references (name, to) lead within ``hops`` steps; a null ``to`` is an end.
+    """(name, target, hops): where symbolic references (name, to) end within ``hops`` steps; a null ``to`` is an end.
 
-    Each round jumps twice as far as the one before, so that the joins grow with the logarithm of ``hops``.
+    What has not ended by then, as in a cycle, has no target; a reference to what does not exist ends there. Each round doubles the
+    length of the jumps, so that the joins grow with the logarithm of ``hops``.
     """
-    at = refs.select("name", F.coalesce("to", "name").alias("target"), F.col("to").isNotNull().cast("long").alias("hops"))
-    far = 1
-    while far < hops:
-        nxt = at.select(F.col("name").alias("target"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
-        at = at.join(nxt, "target", "left").select("name", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
-        far *= 2
-    return at
+    jump = refs.select("name", F.coalesce("to", "name").alias("target"), F.col("to").isNotNull().cast("long").alias("n"))
+    at = refs.select("name", F.col("name").alias("target"), F.lit(0).cast("long").alias("hops"))
+    left = hops
+    while left:
+        step = jump.select(F.col("name").alias("target"), F.col("target").alias("_to"), F.col("n").alias("_n"))
+        if left & 1:
+            at = at.join(step, "target", "left").select("name", F.coalesce("_to", "target").alias("target"), (F.col("hops") + F.coalesce("_n", F.lit(0))).alias("hops"))
+        left >>= 1
+        if left:
+            jump = jump.join(step, "target", "left").select("name", F.coalesce("_to", "target").alias("target"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+    open_ = refs.where("to IS NOT NULL").select(F.col("name").alias("target"), F.lit(True).alias("_open"))
+    ended = F.col("_open").isNull()
+    return at.join(open_, "target", "left").select("name", F.when(ended, F.col("target")).alias("target"), F.when(ended, F.col("hops")).alias("hops"))
 
 
 def directory_digests(files: DataFrame) -> DataFrame:
-    """(path, n_entries, digest) of each directory, the root as "": from the deepest level up.
+    """(path, n_entries, digest) of each directory, the root as "": from the deepest level up, each level written once.
 
     A directory's digest is the SHA-256 of its entries' kinds, names, digests and sizes, in order of names.
-    Entries of one directory are gathered in one row, as its encoding demands.
+    Entries of one directory are gathered in one row, as its encoding demands: a directory must fit a task's memory.
     """
     up = lambda p: F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.lit(""))
-    level = files.select("path", "kind", "digest", "size", F.size(F.split("path", "/")).alias("depth"))
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    out = None
+    files = spool(files.select("path", "kind", "digest", "size", F.size(F.split("path", "/")).alias("depth")), "tree-files")
+    deepest = files.agg(F.max("depth")).first()[0] or 0
+    out = below = None
     for d in range(deepest, 0, -1):
-        own = level.where(F.col("depth") == d)
+        own = files.where(F.col("depth") == d)
+        own = own if below is None else own.unionByName(below)
         entry = F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "kind", "digest", "size")
         dirs = own.groupBy(up(F.col("path")).alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
         text = F.array_join(F.transform("e", lambda x: F.concat_ws("\0", x["kind"], x["name"], x["digest"], x["size"])), "\n")
-        dirs = dirs.select("path", F.size("e").cast("long").alias("n_entries"), F.sha2(text, 256).alias("digest"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + 1 + F.when(x["kind"] == "directory", x["size"]).otherwise(0)).alias("size"))
-        level = level.where(F.col("depth") < d).unionByName(dirs.select("path", F.lit("directory").alias("kind"), "digest", "size", F.lit(d - 1).alias("depth")))
+        dirs = spool(dirs.select("path", F.size("e").cast("long").alias("n_entries"), F.sha2(text, 256).alias("digest"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + 1 + F.when(x["kind"] == "directory", x["size"]).otherwise(0)).alias("size")), "tree-level")
+        below = dirs.where("path <> ''").select("path", F.lit("directory").alias("kind"), "digest", "size", F.lit(d - 1).alias("depth"))
         done = dirs.select("path", "n_entries", "digest")
         out = done if out is None else out.union(done)
     return out if out is not None else files.sparkSession.createDataFrame([], "path string, n_entries long, digest string")

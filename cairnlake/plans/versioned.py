@@ -1,17 +1,21 @@
 """A versioned table set with optimistic commits.
 
-Each version is an immutable directory of Parquet tables and a manifest with its generation and a fresh random
-revision. A commit writes a whole new version beside the old one and then claims the next
-version number by creating its marker file, which only one writer can; the loser gets
-``StaleRevision`` and changes nothing. Readers hold on to one version, so that theirs never changes.
-
-Works on any file system that Spark's driver reaches through Hadoop and that creates files exclusively.
+Each version is a manifest with its generation, a fresh random revision and the Parquet folders of each table. A commit
+writes new folders, appended to those of the version it was made from or instead of them, then writes its manifest beside its place and
+claims the next version number by moving it there, which only one writer can; the loser gets ``StaleRevision`` and changes nothing. A
+writer lost on the way leaves files that no version names, which ``sweep`` deletes, and blocks nobody. Readers hold on to
+one version, so that theirs never changes.
+
+The move must fail where the target exists. It is a hard link on local and mounted file systems, and a rename without overwriting on
+HDFS and its like, which does both at once. Plain object stores do not: there, only one writer may commit at a time.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 
 # Limits of a batch.
 MAX_CHANGES, MAX_KEY_BYTES, MAX_VALUE_BYTES, MAX_BATCH_BYTES = 4096, 4096, 1 << 20, 16 << 20
+#: Folders of a table from which it is written anew as one.
+MAX_PARTS = 32
 
 
 class StaleRevision(Exception):
@@ -41,10 +47,16 @@ class Version:
     number: int
     generation: int
     revision: str
-    tables: dict[str, str]
+    tables: dict[str, list[str]]
+    logs: dict[str, dict]
 
     def read(self, name: str) -> DataFrame:
-        return self.store.spark.read.parquet(self.tables[name])
+        """A table; of a log of changes the state that it stands for."""
+        rows = self.store.spark.read.parquet(*self.tables[name])
+        if name not in self.logs:
+            return rows
+        log = self.logs[name]
+        return newest(rows, log["keys"], log["order"]).where(~F.col(log["removed"]))
 
 
 class Store:
@@ -52,8 +64,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop
-        self._path = hadoop.fs.Path
+        self._hadoop = spark._jvm.org.apache.hadoop
+        self._path = self._hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _marker(self, number: int) -> str:
@@ -76,42 +88,88 @@ class Store:
             got = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return Version(self, n, got["generation"], got["revision"], got["tables"])
+        return Version(self, n, got["generation"], got["revision"], got["tables"], got["logs"])
 
-    def commit(self, base: Version | None, tables: dict[str, DataFrame]) -> Version:
-        """Publish new tables over ``base``; tables that are not given are shared with it."""
-        newest = self.version()
-        if (newest and newest.revision) != (base and base.revision):
-            raise StaleRevision
-        number, revision = (base.number + 1 if base else 1), os.urandom(32).hex()
-        paths = dict(base.tables) if base else {}
-        for name, df in tables.items():
-            paths[name] = f"{self.path}/data/{name}-{revision}"
-            df.write.parquet(paths[name])
-        body = json.dumps({"generation": (base.generation if base else 0) + 1, "revision": revision, "tables": paths}).encode()
-        try:
-            out = self._fs.create(self._path(self._marker(number)), False)  # fails if it exists
-        except Exception as e:
-            raise StaleRevision from e
+    def _claim(self, number: int, body: bytes) -> None:
+        """Put a whole manifest in place, if none stands there."""
+        draft, marker = f"{self.path}/versions/draft-{uuid.uuid4().hex}", self._marker(number)
+        out = self._fs.create(self._path(draft), False)
         try:
             out.write(body)
         finally:
             out.close()
+        try:
+            if self._fs.getScheme() == "file":
+                plain = lambda p: self._path(p).toUri().getPath()
+                os.link(plain(draft), plain(marker))
+            else:
+                context = self._hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                gateway = self.spark.sparkContext._gateway
+                how = gateway.new_array(getattr(self._hadoop.fs, "Options$Rename"), 1)
+                how[0] = getattr(self._hadoop.fs, "Options$Rename").NONE
+                context.rename(self._path(draft), self._path(marker), how)
+        except Exception as e:
+            if isinstance(e, FileExistsError) or "FileAlreadyExists" in str(e):
+                raise StaleRevision from e
+            raise
+        finally:
+            self._fs.delete(self._path(draft), False)
+
+    def commit(self, base: Version | None, tables: dict[str, DataFrame] | None = None, *, append: dict[str, DataFrame] | None = None, logs: dict[str, dict] | None = None) -> Version:
+        """Publish tables instead of those of ``base``, and rows to be added to others; all else is shared with it.
+
+        ``logs``: tables that are logs of changes, each with its ``keys``, ``order`` and ``removed``: newest wins when they are read.
+        """
+        newest = self.version()
+        if (newest and newest.revision) != (base and base.revision):
+            raise StaleRevision
+        number, revision = (base.number + 1 if base else 1), os.urandom(32).hex()
+        parts = {k: list(v) for k, v in base.tables.items()} if base else {}
+        kinds = (base.logs if base else {}) | (logs or {})
+
+        def write(name: str, df: DataFrame) -> str:
+            at = f"{self.path}/data/{name}-{revision}"
+            df.write.parquet(at)
+            return at
+
+        for name, df in (tables or {}).items():
+            parts[name] = [write(name, df)]
+        for name, df in (append or {}).items():
+            if len(parts.get(name, [])) >= MAX_PARTS:
+                old = self.spark.read.parquet(*parts[name])
+                every = old.unionByName(df.select(*old.columns))
+                parts[name] = [write(name, newest(every, kinds[name]["keys"], kinds[name]["order"]) if name in kinds else every)]
+            else:
+                parts.setdefault(name, []).append(write(name, df))
+        body = json.dumps({"generation": (base.generation if base else 0) + 1, "revision": revision, "tables": parts, "logs": kinds}).encode()
+        self._claim(number, body)
         return self.version(number)
 
     def vacuum(self, keep: set[int]) -> int:
-        """Delete versions that are neither ``keep`` nor the newest, and the tables that only they have; returns how many."""
+        """Delete versions that are neither ``keep`` nor the newest, and the folders that only they have; returns how many."""
         known = self.numbers()
         keep = keep | set(known[-1:])
-        live = {p for n in known if n in keep for p in self.version(n).tables.values()}
+        live = {p for n in known if n in keep for parts in self.version(n).tables.values() for p in parts}
         dropped = [n for n in known if n not in keep]
         for n in dropped:
-            for p in self.version(n).tables.values():
-                if p not in live:
-                    self._fs.delete(self._path(p), True)
+            for p in {p for parts in self.version(n).tables.values() for p in parts} - live:
+                self._fs.delete(self._path(p), True)
             self._fs.delete(self._path(self._marker(n)), False)
         return len(dropped)
 
+    def sweep(self, seconds: float = 86_400) -> int:
+        """Delete what lost writers left: folders and drafts that no version names, untouched for so long; returns how many."""
+        named = {p.rsplit("/", 1)[1] for n in self.numbers() for parts in self.version(n).tables.values() for p in parts}
+        old = (time.time() - seconds) * 1000
+        gone = 0
+        for folder, is_left in (("data", lambda x: x not in named), ("versions", lambda x: x.startswith("draft-"))):
+            at = self._path(f"{self.path}/{folder}")
+            for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if is_left(s.getPath().getName()) and s.getModificationTime() <= old:
+                    self._fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone
+
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], removed: Column | None = None) -> DataFrame:
     """``current`` with changed keys replaced; those that are ``removed`` go."""
@@ -120,6 +178,12 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], removed: Col
     return left.unionByName(new.select(*current.columns))
 
 
+def newest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key of an appended log of changes the newest row, removals included. By partial aggregation, no window."""
+    body = [c for c in log.columns if c not in keys]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(order)).alias("_x")).select(*keys, "_x.*").select(*log.columns)
+
+
 def commit_if(store: Store, base: Version, table: str, keys: list[str], checks: DataFrame, changes: DataFrame, removed: Column | None = None) -> Version:
     """Apply changes if every check (ordinal, *keys, expected) meets the value of its key (null: absent); else ``Conflict``.
 
@@ -139,11 +203,15 @@ def commit_if(store: Store, base: Version, table: str, keys: list[str], checks:
 
 def insert_new(current: DataFrame, rows: DataFrame, keys: list[str], generation: int) -> DataFrame:
     """Immutable records: equal ones are not inserted again, different ones under a known key are an error."""
-    body = [c for c in current.columns if c not in (*keys, "generation")]
+    return current.unionByName(new_rows(current, rows, keys).withColumn("generation", F.lit(generation).cast("long")).select(*current.columns))
+
+
+def new_rows(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of immutable ``rows`` whose keys ``current`` lacks; a different row under a known key is an error."""
+    body = [c for c in current.columns if c in rows.columns and c not in (*keys, "generation")]
     same = F.lit(True)
     for c in body:
         same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     if not rows.alias("a").join(current.alias("b"), keys).where(~same).isEmpty():
         raise ValueError("a different record is stored under a key")
-    new = rows.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti").withColumn("generation", F.lit(generation).cast("long"))
-    return current.unionByName(new.select(*current.columns))
+    return rows.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti")

@@ -2,15 +2,17 @@
 
 Tables of a version:
 
-* ``objects`` (ns, id, payload, size, generation, validated): immutable records; ``id`` is text, and for
+* ``objects`` (ns, id, payload, size, generation): immutable records; ``id`` is text, and for
   blobs and directories the SHA-256 of the payload
+* ``verified`` (ns, id): facts, objects whose closures were found complete
 * ``links`` (sns, sid, dns, did): what an object names
 * ``entries`` (dir, name, kind, child, size, executable, target): directory contents
-* ``payloads`` (digest, size, data): bytes, once each
+* ``payloads`` (digest, size, data): bytes, once each; null data of a payload that is kept in chunks
+* ``manifests`` (digest, ord, chunk, size), ``chunks`` (chunk, data): payloads of ``CHUNKED`` bytes and more, cut by content
 * ``roots`` (name, ns, id, evictable, last_use)
 * ``pins`` (token, generation): snapshots that collection must spare
 
-Every change is one commit against the version it was made from. Whatever is large stays a DataFrame; the
+Every change is one commit against the version it was made from, which appends what is new; collection writes tables anew. Whatever is large stays a DataFrame; the
 driver sees counts, versions and first failures.
 """
 
@@ -23,20 +25,30 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators import audit, kv, sync
+from cairnlake.operators import audit, chunking, kv, sync
 from cairnlake.operators.closure import closure, first_missing
-from cairnlake.plans.versioned import StaleRevision, Store, Version, insert_new
+from cairnlake.plans.spool import spool
+from cairnlake.plans.versioned import StaleRevision, Store, Version, new_rows
 from cairnlake.sources.archives import read_bundle, write_bundle
 
 KEY = ["ns", "id"]
 TABLES = {
-    "objects": "ns string, id string, payload string, size long, generation long, validated boolean",
+    "objects": "ns string, id string, payload string, size long, generation long",
+    "verified": "ns string, id string",
     "links": "sns string, sid string, dns string, did string",
     "entries": "dir string, name string, kind string, child string, size long, executable boolean, target string",
     "payloads": "digest string, size long, data binary",
+    "manifests": "digest string, ord long, chunk string, size long",
+    "chunks": "chunk string, data binary",
     "roots": "name string, ns string, id string, evictable boolean, last_use long",
     "pins": "token string, generation long",
 }
+#: Payloads of so many bytes are kept in chunks of this size on average.
+CHUNKED, CHUNK_BYTES = 1 << 20, 1 << 16
+
+
+def _columns(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table].split(", ")]
 
 
 @dataclass
@@ -60,37 +72,126 @@ class Repository:
     # -- reading
 
     def objects_at(self, version: Version, generation: int | None = None) -> DataFrame:
+        """All objects in order of their keys, or those born by a generation."""
         got = version.read("objects")
-        return got if generation is None else kv.as_of(got, generation)
+        return (got if generation is None else kv.as_of(got, generation)).orderBy(*KEY)
+
+    def get(self, ns: str, id: str, version: Version | None = None) -> dict | None:
+        """The record of one object, with whether its closure is verified; None if there is none."""
+        v = version or self.version()
+        rows = v.read("objects").where((F.col("ns") == ns) & (F.col("id") == id)).limit(1).collect()
+        if not rows:
+            return None
+        seen = v.read("verified").where((F.col("ns") == ns) & (F.col("id") == id)).isEmpty()
+        return rows[0].asDict() | {"validated": not seen}
+
+    def get_many(self, wanted: DataFrame, *, validated_only: bool = False) -> DataFrame:
+        """A row for each requested (ordinal, ns, id), misses included; with ``validated_only`` what is not verified reads as missing."""
+        v = self.version()
+        have = v.read("objects")
+        return wanted.join(have.join(v.read("verified"), KEY, "left_semi") if validated_only else have, KEY, "left")
+
+    def show(self, ns: str, id: str) -> dict:
+        """An object's record, and what it links to, in order."""
+        got = self.get(ns, id)
+        if got is None:
+            raise KeyError((ns, id))
+        out = self.version().read("links").where((F.col("sns") == ns) & (F.col("sid") == id)).orderBy("dns", "did")
+        return got | {"links": [(r["dns"], r["did"]) for r in out.toLocalIterator()]}
 
     def roots(self, prefix: str | None = None) -> DataFrame:
         got = self.version().read("roots")
         return (got if prefix is None else got.where(kv.under(F.col("name"), prefix))).orderBy("name")
 
+    def pins(self) -> DataFrame:
+        """Snapshots that are held, the oldest first."""
+        return self.version().read("pins").orderBy("generation", "token")
+
     def listing(self, directory: str) -> DataFrame:
         """Direct entries of a directory, in order of names."""
         return self.version().read("entries").where(F.col("dir") == directory).orderBy("name")
 
+    def getattr(self, directory: str, path: str) -> dict:
+        """The entry that a path names below a directory, which itself is the empty path."""
+        if not path.strip("/"):
+            return {"name": "", "kind": "directory", "child": directory, "size": None, "executable": False, "target": None}
+        at, entries = directory, self.version().read("entries")
+        parts = [p for p in path.split("/") if p]
+        for k, name in enumerate(parts):
+            rows = entries.where((F.col("dir") == at) & (F.col("name") == name)).limit(1).collect()
+            if not rows or (k + 1 < len(parts) and rows[0]["kind"] != "directory"):
+                raise FileNotFoundError(path)
+            at = rows[0]["child"]
+        return {c: rows[0][c] for c in _columns("entries")[1:]}
+
+    def readlink(self, directory: str, path: str) -> str:
+        got = self.getattr(directory, path)
+        if got["kind"] != "symlink":
+            raise ValueError(f"{path} is no symbolic link")
+        return got["target"]
+
     def cat(self, digest: str, offset: int = 0, length: int | None = None) -> bytes:
-        """Bytes of one payload, after its digest is checked."""
-        rows = self.version().read("payloads").where(F.col("digest") == digest).withColumn("ok", F.sha2("data", 256) == F.col("digest")).limit(1).collect()
+        """Bytes of one payload, after what was read is checked: the whole payload, or of one in chunks those that the range needs."""
+        v = self.version()
+        rows = v.read("payloads").where(F.col("digest") == digest).withColumn("ok", F.sha2("data", 256) == F.col("digest")).limit(1).collect()
         if not rows:
             raise KeyError(digest)
-        if not rows[0]["ok"]:
+        end = rows[0]["size"] if length is None else min(rows[0]["size"], offset + length)
+        if rows[0]["data"] is None and end > offset:
+            got = chunking.read_range(v.read("manifests").where(F.col("digest") == digest), v.read("chunks"), "digest", offset, end - offset).first()
+            if got is None or got["data"] is None or len(got["data"]) != end - offset:
+                raise ValueError(f"the payload of {digest} is damaged")
+            return bytes(got["data"])
+        if rows[0]["data"] is not None and not rows[0]["ok"]:
             raise ValueError(f"the payload of {digest} is damaged")
-        return bytes(rows[0]["data"])[offset : None if length is None else offset + length]
+        return bytes(rows[0]["data"] or b"")[offset:end]
+
+    def bodies(self, version: Version | None = None) -> DataFrame:
+        """(digest, size, data) of all payloads, those in chunks put together; null data where a chunk is missing."""
+        v = version or self.version()
+        own = v.read("payloads")
+        cut = v.read("manifests").join(v.read("chunks"), "chunk", "left")
+        made = cut.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("ord", F.hex("data").alias("x")))).alias("x"), F.count_if(F.col("data").isNull()).alias("n"))  # one payload's chunks
+        made = made.select("digest", F.when(F.col("n") == 0, F.unhex(F.array_join("x.x", ""))).alias("_made"))
+        return own.join(made, "digest", "left").select("digest", "size", F.coalesce("data", "_made").alias("data"))
+
+    def chunk_listing(self) -> DataFrame:
+        """(chunk, size, n) of stored chunks, and how many places of manifests name each."""
+        v = self.version()
+        uses = v.read("manifests").groupBy("chunk").agg(F.count("*").alias("n"))
+        return v.read("chunks").select("chunk", F.octet_length("data").cast("long").alias("size")).join(uses, "chunk", "left").fillna(0, ["n"])
+
+    def usage(self) -> dict[str, int]:
+        """Objects, payloads, their bytes as named by objects and as stored."""
+        v = self.version()
+        named = v.read("objects").agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        inline = v.read("payloads").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("size")).first()
+        held = v.read("chunks").agg(F.sum(F.octet_length("data")).alias("size")).first()
+        return {"objects": named["n"], "named_bytes": named["size"] or 0, "payloads": inline["n"], "stored_bytes": (inline["size"] or 0) + (held["size"] or 0)}
 
     def tree(self, directory: str) -> DataFrame:
-        """(path, kind, child, size, executable, target) of all that a directory holds, level by level."""
+        """(path, kind, child, size, executable, target) of all that a directory holds, level by level, each written once."""
         entries = self.version().read("entries")
-        level = entries.where(F.col("dir") == directory).withColumn("path", F.col("name"))
+        level = spool(entries.where(F.col("dir") == directory).withColumn("path", F.col("name")), "tree")
         out = level
         while not (deeper := level.where("kind = 'directory'")).isEmpty():
             up = deeper.select(F.col("child").alias("dir"), F.col("path").alias("_at"))
-            level = entries.join(up, "dir").withColumn("path", F.concat_ws("/", "_at", "name")).drop("_at")
+            level = spool(entries.join(up, "dir").withColumn("path", F.concat_ws("/", "_at", "name")).drop("_at"), "tree")
             out = out.unionByName(level)
         return out.select("path", "kind", "child", "size", "executable", "target")
 
+    def path_proof(self, directory: str, path: str) -> list[dict]:
+        """The entries that lead from a directory to a path, each of the directory before it: what a reader needs to trust the last one."""
+        out, at = [], directory
+        parts = [p for p in path.split("/") if p]
+        for k in range(len(parts)):
+            own = {r["name"]: {c: r[c] for c in _columns("entries")[1:]} for r in self.listing(at).collect()}  # one directory
+            if parts[k] not in own:
+                raise FileNotFoundError(path)
+            out.append({"dir": at, "name": parts[k], "entries": [own[n] for n in sorted(own)]})
+            at = own[parts[k]]["child"]
+        return out
+
     def closure_status(self, ns: str, id: str, max_objects: int = 10_000_000) -> Status:
         v = self.version()
         links, objects = v.read("links"), v.read("objects")
@@ -114,32 +215,41 @@ class Repository:
             for name, want in (expected or {}).items():
                 if now.get(name) != want:
                     raise ValueError(f"root {name} is not what was expected")
-            all_links = v.read("links").union(links).distinct()
-            new = objects.withColumn("validated", F.lit(False)).withColumn("generation", F.lit(0).cast("long"))
-            old = v.read("objects").drop("validated")
-            merged = insert_new(old, new.drop("validated"), KEY, v.generation + 1)
-            flags = v.read("objects").select(*KEY, "validated")
-            every = merged.join(flags, KEY, "left").fillna(False, ["validated"]).select(*TABLES["objects"].replace(" string", "").replace(" long", "").replace(" boolean", "").split(", "))
-            tables = {"links": all_links, "payloads": v.read("payloads").union(payloads.select("digest", "size", "data")).dropDuplicates(["digest"])}
+            fresh = new_rows(v.read("objects"), objects.select("ns", "id", "payload", "size"), KEY).withColumn("generation", F.lit(v.generation + 1).cast("long"))
+            fresh = spool(fresh.select(*_columns("objects")), "publish-objects")
+            new_links = spool(links.select(*_columns("links")).distinct().join(v.read("links"), _columns("links"), "left_anti"), "publish-links")
+            append = {"objects": fresh, "links": new_links} | self._stored(v, payloads)
+            tables = {}
             if roots is not None:
-                seeds = roots.select(*KEY)
-                reached = closure(seeds, all_links, stop=every.where("validated"))
+                seeds, all_links = roots.select(*KEY), v.read("links").union(new_links)
+                every = v.read("objects").union(fresh)
+                reached = closure(seeds, all_links, stop=v.read("verified"))
                 bad = first_missing(reached, all_links, every).collect()
                 if bad or not seeds.join(every, KEY, "left_anti").isEmpty():
                     raise ValueError(f"a root's closure is incomplete: {tuple(bad[0]) if bad else 'the root itself'}")
-                done = reached.select(*KEY).withColumn("_done", F.lit(True))
-                every = every.join(done, KEY, "left").withColumn("validated", F.col("validated") | F.coalesce("_done", F.lit(False))).drop("_done")
+                append["verified"] = reached.select(*KEY).join(v.read("verified"), KEY, "left_anti")
                 own = v.read("roots")
                 tables["roots"] = own.join(roots.select("name"), "name", "left_anti").unionByName(roots.select(*own.columns))
             if entries is not None:
-                tables["entries"] = v.read("entries").union(entries).distinct()
+                append["entries"] = entries.select(*_columns("entries")).distinct().join(v.read("entries").select("dir").distinct(), "dir", "left_anti").select(*_columns("entries"))
             try:
-                return self.store.commit(v, tables | {"objects": every})
+                return self.store.commit(v, tables, append=append)
             except StaleRevision:
                 if base is not None or attempt + 1 == retries:
                     raise
         raise StaleRevision
 
+    def _stored(self, v: Version, payloads: DataFrame) -> dict[str, DataFrame]:
+        """What payloads (digest, size, data) add to the tables: bytes of small ones, manifests and new chunks of large ones."""
+        new = spool(payloads.select("digest", "size", "data").dropDuplicates(["digest"]).join(v.read("payloads").select("digest"), "digest", "left_anti"), "publish-payloads")
+        large = new.where(F.octet_length("data") >= CHUNKED)
+        out = {"payloads": new.withColumn("data", F.when(F.octet_length("data") < CHUNKED, F.col("data")))}
+        if not large.isEmpty():
+            cut = spool(chunking.content_chunks(large, "digest", F.col("data"), CHUNK_BYTES, with_data=True), "publish-chunks")
+            out["manifests"] = cut.select(*_columns("manifests"))
+            out["chunks"] = cut.select("chunk", "data").dropDuplicates(["chunk"]).join(v.read("chunks").select("chunk"), "chunk", "left_anti")
+        return out
+
     def set_root(self, name: str, ns: str, id: str, *, evictable: bool = False, last_use: int = 0, expected: dict | None = None) -> Version:
         none = {k: self.spark.createDataFrame([], TABLES[k]) for k in ("objects", "links", "payloads")}
         roots = self.spark.createDataFrame([(name, ns, id, evictable, last_use)], TABLES["roots"])
@@ -153,10 +263,33 @@ class Repository:
         self.store.commit(v, {"roots": own.where(F.col("name") != name)})
         return True
 
-    def import_files(self, files: DataFrame, root: str) -> str:
-        """Publish files (path, data[, executable]) as a directory tree under a root; returns the tree's id."""
+    def remove_root_if(self, name: str, id: str) -> bool:
+        """Remove a root if it is what the caller knows; whether it was."""
+        v = self.version()
+        own = v.read("roots")
+        if own.where((F.col("name") == name) & (F.col("id") == id)).isEmpty():
+            return False
+        self.store.commit(v, {"roots": own.where(F.col("name") != name)})
+        return True
+
+    def touch_roots(self, uses: DataFrame) -> Version:
+        """Raise the last use of evictable roots to the newest of ``uses`` (name, at)."""
+        v = self.version()
+        own = v.read("roots")
+        return self.store.commit(v, {"roots": sync.touch(own, uses).select(*own.columns)})
+
+    def import_many(self, files: DataFrame) -> dict[str, str]:
+        """Publish files (root, path, data[, executable]) under as many roots; the tree's id of each."""
+        names = sorted(r["root"] for r in files.select("root").distinct().collect())  # a row for each root
+        return {name: self.import_files(files.where(F.col("root") == name).drop("root"), name) for name in names}
+
+    def import_files(self, files: DataFrame, root: str | None) -> str:
+        """Publish files (path, data[, executable]) as a directory tree under a root, or without one; returns the tree's id.
+
+        A level of directories is written once; the entries of one directory are one row, as its digest is of all of them.
+        """
         f = files if "executable" in files.columns else files.withColumn("executable", F.lit(False))
-        f = f.select("path", "executable", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("size"), "data")
+        f = spool(f.select("path", "executable", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("size"), "data"), "import-files")
         level = f.select("path", F.lit("file").alias("kind"), F.col("digest").alias("child"), "size", "executable", F.lit(None).cast("string").alias("target"))
         depth = level.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
         every = None
@@ -167,6 +300,7 @@ class Repository:
             rest = level.where(F.size(F.split("path", "/")) < d)
             dirs = own.groupBy(parent.alias("path")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
             dirs = dirs.withColumn("text", F.to_json("e")).withColumn("child", F.sha2("text", 256)).withColumn("n", F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + 1 + F.when(x["kind"] == "directory", x["size"]).otherwise(0)))
+            dirs = spool(dirs, "import-level")
             every = dirs if every is None else every.union(dirs)
             up = dirs.where("path <> ''").select("path", F.lit("directory").alias("kind"), "child", F.col("n").alias("size"), F.lit(False).alias("executable"), F.lit(None).cast("string").alias("target"))
             level = rest.union(up)
@@ -178,7 +312,7 @@ class Repository:
         ns = lambda kind: F.when(kind == "directory", "directory.v1").otherwise("blob.v1")
         links = entries.where("kind <> 'symlink'").select(F.lit("directory.v1").alias("sns"), F.col("dir").alias("sid"), ns(F.col("kind")).alias("dns"), F.col("child").alias("did")).distinct()
         objects = every.select(F.lit("directory.v1").alias("ns"), F.col("child").alias("id"), F.col("child").alias("payload"), F.octet_length("text").cast("long").alias("size")).union(f.select(F.lit("blob.v1"), "digest", "digest", "size")).distinct()
-        roots = self.spark.createDataFrame([(root, "directory.v1", top, False, 0)], TABLES["roots"])
+        roots = None if root is None else self.spark.createDataFrame([(root, "directory.v1", top, False, 0)], TABLES["roots"])
         self.publish(objects, links, bodies, roots, entries)
         return top
 
@@ -190,7 +324,7 @@ class Repository:
         if os.path.exists(target) and os.listdir(target):
             raise FileExistsError(target)
         stage = f"{target}.{uuid.uuid4().hex}"
-        files = self.tree(directory).where("kind <> 'directory'").join(self.version().read("payloads").select(F.col("digest").alias("child"), "data"), "child", "left")
+        files = self.tree(directory).where("kind <> 'directory'").join(self.bodies().select(F.col("digest").alias("child"), "data"), "child", "left")
 
         def write(rows) -> None:
             import hashlib
@@ -198,15 +332,18 @@ class Repository:
             for r in rows:
                 at = os.path.join(stage, r["path"])
                 os.makedirs(os.path.dirname(at), exist_ok=True)
+                draft = f"{at}.{uuid.uuid4().hex}"  # a task that is tried again writes beside what it left
                 if r["kind"] == "symlink":
-                    os.symlink(r["target"], at)
+                    os.symlink(r["target"], draft)
+                    os.replace(draft, at)
                     continue
                 if r["data"] is None or hashlib.sha256(r["data"]).hexdigest() != r["child"]:
                     raise ValueError(f"the payload of {r['path']} is missing or damaged")
-                with open(at, "wb") as out:
+                with open(draft, "wb") as out:
                     out.write(r["data"])
                 if r["executable"]:
-                    os.chmod(at, 0o755)
+                    os.chmod(draft, 0o755)
+                os.replace(draft, at)
 
         os.makedirs(stage)
         n = files.count()
@@ -248,35 +385,54 @@ class Repository:
         if not dry_run and any(out.values()):
             alive = kept.select(*KEY)
             links = v.read("links").join(alive.select(F.col("ns").alias("sns"), F.col("id").alias("sid")), ["sns", "sid"], "left_semi")
-            entries = v.read("entries").join(alive.where("ns = 'directory.v1'").select(F.col("id").alias("dir")), "dir", "left_semi").select(*v.read("entries").columns)
-            self.store.commit(v, {"objects": kept.select(*objects.columns), "payloads": payloads.select("digest", "size", "data"), "links": links.select("sns", "sid", "dns", "did"), "entries": entries})
+            entries = v.read("entries").join(alive.where("ns = 'directory.v1'").select(F.col("id").alias("dir")), "dir", "left_semi")
+            manifests = v.read("manifests").join(payloads.select("digest"), "digest", "left_semi")
+            chunks = v.read("chunks").join(manifests.select("chunk"), "chunk", "left_semi")
+            verified = v.read("verified").distinct().join(alive, KEY, "left_semi")
+            new = {"objects": kept, "payloads": payloads, "links": links, "entries": entries, "manifests": manifests, "chunks": chunks, "verified": verified}
+            self.store.commit(v, {k: df.select(*_columns(k)) for k, df in new.items()})
         return out
 
+    def eviction_plan(self, need: int) -> DataFrame:
+        """(name, rank, freed): the evictable roots to remove, least recently used first, so that ``need`` bytes that only they hold are free.
+
+        A payload is free once the last root that reaches it is gone; the rank of that root is carried along links once for all roots.
+        """
+        v = self.version()
+        order = ["last_use", "name"]
+        evictable = spool(v.read("roots").where("evictable"), "evict-roots")
+        ranked = evictable.select("name", *KEY, F.struct(*order).alias("rank"))
+        pinned = v.read("pins").agg(F.max("generation")).first()[0]
+        kept = v.read("roots").where("NOT evictable").select(*KEY)
+        if pinned is not None:
+            kept = kept.union(kv.as_of(v.read("objects"), pinned).select(*KEY))
+        spared = closure(kept, v.read("links")).select(*KEY)
+        held = audit.holders(ranked.select(*KEY, "rank"), v.read("links"), spared)
+        safe = v.read("objects").join(spared, KEY, "left_semi").select("payload")
+        own = v.read("objects").join(held, KEY).groupBy("payload").agg(F.max("rank").alias("rank"), F.max("size").alias("size")).join(safe, "payload", "left_anti")
+        freed = own.groupBy("rank").agg(F.sum("size").alias("freed"))
+        rows = spool(ranked.select("name", "rank").join(freed, "rank", "left").select("name", "rank.last_use", F.coalesce("freed", F.lit(0)).cast("long").alias("freed")), "evict-rows")
+        return audit.evict(rows, order, F.col("freed"), need, F.col("last_use"))
+
     def evict(self, need: int) -> list[str]:
-        """Remove evictable roots, least recently used first, until ``need`` bytes that only they hold are free."""
-        gone: list[str] = []
-        freed = 0
-        while freed < need:
+        """Remove evictable roots, least recently used first, until ``need`` bytes that only they hold are free: one plan, one commit, one collection."""
+        gone = [r["name"] for r in self.eviction_plan(need).orderBy("last_use", "name").select("name").collect()]  # names only
+        if gone:
             v = self.version()
-            first = v.read("roots").where("evictable").orderBy("last_use", "name").limit(1).collect()
-            if not first:
-                break
-            before = v.read("payloads").agg(F.sum("size")).first()[0] or 0
-            self.remove_root(first[0]["name"])
+            self.store.commit(v, {"roots": v.read("roots").join(self.spark.createDataFrame([(n,) for n in gone], "name string"), "name", "left_anti").select(*_columns("roots"))})
             self.collect()
-            freed += before - (self.version().read("payloads").agg(F.sum("size")).first()[0] or 0)
-            gone.append(first[0]["name"])
         return gone
 
     def vacuum(self) -> int:
-        """Delete old versions, and the files that only they have."""
+        """Delete old versions, the files that only they have, and what lost writers left a day ago or earlier."""
+        self.store.sweep()
         return self.store.vacuum(set())
 
     def fsck(self) -> DataFrame:
         """(issue, ns, id) of all findings."""
         v = self.version()
-        objects, links, payloads = v.read("objects"), v.read("links"), v.read("payloads")
-        stored = payloads.select(F.col("digest").alias("payload"), F.col("size").alias("_size"), (F.sha2("data", 256) == F.col("digest")).alias("_ok"))
+        objects, links, payloads = v.read("objects"), v.read("links"), spool(self.bodies(v), "fsck-payloads")
+        stored = payloads.select(F.col("digest").alias("payload"), F.col("size").alias("_size"), F.coalesce(F.sha2("data", 256) == F.col("digest"), F.lit(False)).alias("_ok"))
         met = objects.join(stored, "payload", "left")
         return audit.issues(
             {
@@ -294,44 +450,58 @@ class Repository:
         v = self.version()
         check = lambda df: df.withColumn("_seen", F.sha2("data", 256))
         expected = v.read("objects").select(F.col("payload").alias("digest")).distinct()
-        mine, other = check(v.read("payloads")), check(replica.version().read("payloads"))
+        mine, other = (check(spool(x, "repair")).where("data IS NOT NULL") for x in (self.bodies(v), replica.bodies()))
         plan = audit.repair_plan(expected.withColumn("_seen", F.col("digest")), mine, other, "digest", "_seen")
         out = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
         if not dry_run and out.get("replace"):
             fix = plan.where("action = 'replace'").select("digest")
             new = v.read("payloads").join(fix, "digest", "left_anti").unionByName(other.drop("_seen").join(fix, "digest", "left_semi"))
-            self.store.commit(v, {"payloads": new.select("digest", "size", "data")})
+            self.store.commit(v, {"payloads": new.select("digest", "size", "data"), "manifests": v.read("manifests").join(fix, "digest", "left_anti").select(*_columns("manifests"))})
         return out
 
-    def transfer(self, source: Repository, names: list[str] | None = None, *, reuse: bool = True) -> dict[str, int]:
-        """Copy roots and their closures from another repository; equal objects are skipped, different ones are an error.
+    def transfer(self, source: Repository, names: list[str] | None = None, *, reuse: bool = True, roots: DataFrame | None = None) -> dict[str, int]:
+        """Copy roots, all, named or given ones, and their closures from another repository; equal objects are skipped, different ones are an error.
 
         With ``reuse``, descendants of objects whose closures are verified here are not looked at.
         """
         s, d = source.version(), self.version()
-        roots = s.read("roots") if names is None else s.read("roots").where(F.col("name").isin(names))
+        if roots is None:
+            roots = s.read("roots") if names is None else s.read("roots").where(F.col("name").isin(names))
         have = d.read("objects")
-        reached = closure(roots, s.read("links"), stop=have.where("validated") if reuse else None).select(*KEY)
+        reached = closure(roots, s.read("links"), stop=d.read("verified") if reuse else None).select(*KEY)
         offered = s.read("objects").join(reached, KEY, "left_semi")
         plan = sync.plan(offered.select(*KEY, "payload"), have, KEY, "payload")
         counts = {r["status"]: r["count"] for r in plan.groupBy("status").count().collect()}
         if counts.get("conflict"):
             raise ValueError("an object differs at the destination")
         new = offered.join(plan.where("status = 'transfer'"), KEY, "left_semi")
-        bodies = s.read("payloads").join(new.select(F.col("payload").alias("digest")), "digest", "left_semi").join(d.read("payloads").select("digest"), "digest", "left_anti")
-        if not bodies.where(F.sha2("data", 256) != F.col("digest")).isEmpty():
+        bodies = source.bodies(s).join(new.select(F.col("payload").alias("digest")), "digest", "left_semi").join(d.read("payloads").select("digest"), "digest", "left_anti")
+        bodies = spool(bodies, "transfer")
+        if not bodies.where("data IS NULL").union(bodies.where(F.sha2("data", 256) != F.col("digest"))).isEmpty():
             raise ValueError("a payload of the source is damaged")
         links = s.read("links").join(reached.select(F.col("ns").alias("sns"), F.col("id").alias("sid")), ["sns", "sid"], "left_semi").select("sns", "sid", "dns", "did")
         entries = s.read("entries").join(new.where("ns = 'directory.v1'").select(F.col("id").alias("dir")), "dir", "left_semi").select(*s.read("entries").columns)
         self.publish(new.select("ns", "id", "payload", "size"), links, bodies.select("digest", "size", "data"), roots, entries)
         return counts
 
+    def transfer_path(self, source: Repository, directory: str, path: str, root: str) -> dict[str, int]:
+        """Copy what a path below a directory of another repository names, and only that, and set a root on it here.
+
+        The directories on the way are not copied: their listings prove where the path leads.
+        """
+        proof = source.path_proof(directory, path)
+        last = next(e for e in proof[-1]["entries"] if e["name"] == proof[-1]["name"]) if proof else source.getattr(directory, "")
+        ns = "directory.v1" if last["kind"] == "directory" else "blob.v1"
+        if last["kind"] == "symlink":
+            raise ValueError(f"{path} is a symbolic link")
+        return self.transfer(source, roots=self.spark.createDataFrame([(root, ns, last["child"], False, 0)], TABLES["roots"]))
+
     def export(self, path: str, names: list[str] | None = None) -> None:
         """A closure-complete bundle of roots."""
         v = self.version()
         roots = v.read("roots") if names is None else v.read("roots").where(F.col("name").isin(names))
         own = v.read("objects").join(closure(roots, v.read("links")).select(*KEY), KEY, "left_semi")
-        write_bundle(own.select(*KEY, F.col("payload").alias("digest"), "size"), v.read("payloads").join(own.select(F.col("payload").alias("digest")), "digest", "left_semi"), roots, path)
+        write_bundle(own.select(*KEY, F.col("payload").alias("digest"), "size"), self.bodies(v).join(own.select(F.col("payload").alias("digest")), "digest", "left_semi"), roots, path)
         key = own.select(F.col("ns").alias("sns"), F.col("id").alias("sid"))
         v.read("links").join(key, ["sns", "sid"], "left_semi").write.parquet(f"{path}/links")
         v.read("entries").join(own.select(F.col("id").alias("dir")), "dir", "left_semi").write.parquet(f"{path}/entries")

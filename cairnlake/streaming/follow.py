@@ -1,4 +1,4 @@
-"""Incremental synchronization: a stream of new rows merged into a versioned table."""
+"""Incremental synchronization: a stream of new rows appended to a versioned table."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from cairnlake.plans.versioned import Store, upsert
+from cairnlake.plans.versioned import Store
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, store: Store, table: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Merge files that arrive under ``source`` into ``table`` of ``store``: newest by ``order`` wins, rows with ``removed`` go.
+    """Append files that arrive under ``source`` to ``table`` of ``store``, a log of changes: newest by ``order`` wins, rows with ``removed`` go.
 
-    Each micro-batch is one commit that records its number, so that a batch that is run again after
-    a failure changes nothing.
+    Each micro-batch is one commit of its own newest rows that records its number, so that a batch that is run again after
+    a failure changes nothing. What is stored already is not read or written again; the log is written anew once it has many parts.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -23,14 +23,7 @@ def follow(spark: SparkSession, source: str, schema: StructType, store: Store, t
             return
         columns = [c for c in batch.columns if c not in keys]
         newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("x")).select(*keys, "x.*")
-        progress = spark.createDataFrame([(number,)], "batch long")
-        if base is None:
-            store.commit(None, {table: newest.where("NOT removed"), "progress": progress})
-            return
-        now = base.read(table)
-        late = now.select(*keys, F.col(order).alias("_there"))
-        fresh = newest.join(late, keys, "left").where(F.col("_there").isNull() | (F.col(order) > F.col("_there"))).drop("_there")
-        store.commit(base, {table: upsert(now, fresh, keys, F.col("removed")), "progress": progress})
+        store.commit(base, {"progress": spark.createDataFrame([(number,)], "batch long")}, append={table: newest}, logs={table: {"keys": keys, "order": order, "removed": "removed"}})
 
     rows = spark.readStream.schema(schema).parquet(source)
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
