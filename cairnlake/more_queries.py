@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from cairnlake.functions import codecs
 from cairnlake.functions import text as t
 from cairnlake.operators import audit, catalog, chunking, kv, sets, sync, tree
-from cairnlake.operators.closure import closure
+from cairnlake.operators.closure import available, closure, first_sources
+from cairnlake.operators.closure import proof_frontier as walk_to_proofs
 from cairnlake.plans.spool import spool
 from cairnlake.queries import COMPONENTS, DOCS, GRAPH, LEVELS, LINES, LINKS, LIVE, OBJECTS, PATHS, ROOTS, _links, query
 from cairnlake.sources import archives
-from cairnlake.sources.views import objects, payloads, table, url_path, urgent
+from cairnlake.sources.views import links, objects, payloads, table, url_path, urgent
 
 
 def _src(df):
@@ -28,7 +29,8 @@ def _src(df):
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, sha1('blob ' || strlen(text) || chr(0) || text) AS git_blob, strlen(text)::BIGINT AS size FROM documents")
 def multi_hash(spark, sf):
     raw = F.col("text").cast("binary")
-    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"), t.git_object_digest("blob", raw).alias("git_blob"), F.octet_length("text").cast("long").alias("size"))
+    got = table(spark, sf, "documents").select("doc_id", t.measurements(raw).alias("x"), t.git_object_digest("blob", raw).alias("git_blob"))
+    return got.select("doc_id", "x.md5", "x.sha1", "x.sha256", "git_blob", "x.size")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
@@ -36,9 +38,11 @@ def url_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"))
 
 
-@query("SELECT doc_id, url_decode(url_encode(substr(text, 1, 60))) AS decoded FROM documents")
+@query("SELECT doc_id, text AS decoded, regexp_matches(text, '%[0-9A-Fa-f]{2}') AS had_escape FROM documents")
 def percent_decode(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.url_decode(F.url_encode(F.substring("text", 1, 60))).alias("decoded"))
+    """Whole texts, whose every byte that is no letter or digit is escaped first in the form of addresses."""
+    escaped = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    return table(spark, sf, "documents").select("doc_id", F.url_decode(escaped).alias("decoded"), F.col("text").rlike("%[0-9A-Fa-f]{2}").alias("had_escape"))
 
 
 @query(f"WITH {PATHS}, {COMPONENTS} SELECT page_id, 'import/' || array_to_string(list_filter(p, lambda x: x NOT IN ('.', '..')), '/') AS name FROM parts")
@@ -66,15 +70,22 @@ def last_use_decode(spark, sf):
     return table(spark, sf, "events").select("event_id", t.last_use(raw).alias("last_use"))
 
 
-@query("SELECT doc_id, substr(text, 11, 20) AS part FROM documents")
+@query("SELECT doc_id, substr(hex(text), 21, 40) AS part FROM documents WHERE strlen(text) > 10")
 def range_read(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 11, 20).alias("part"))
+    """Bytes 10 to 29 of each payload, put together from the chunks that its manifest names there."""
+    docs = table(spark, sf, "documents")
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "(?<=\\n)", -1)).alias("ord", "part"))
+    cut = cut.select("doc_id", F.col("ord").cast("long").alias("ord"), F.sha2("part", 256).alias("chunk"), F.octet_length("part").cast("long").alias("size"), F.col("part").cast("binary").alias("data"))
+    stored = spool(cut, "range-chunks")
+    got = chunking.read_range(stored.drop("data"), stored.dropDuplicates(["chunk"]).select("chunk", "data"), "doc_id", 10, 20)
+    return got.select("doc_id", F.hex("data").alias("part"))
 
 
-@query("SELECT conv_id, list(DISTINCT turn ORDER BY turn) = list(turn ORDER BY turn) AS in_order FROM conversations GROUP BY 1")
+@query("SELECT l_orderkey, bool_and(prev IS NULL OR prev < l_partkey) AS in_order FROM (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS prev FROM lineitem) GROUP BY 1")
 def link_order(spark, sf):
-    per = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return per.select("conv_id", t.links_in_order(F.col("turns")).alias("in_order"))
+    """Whether the parts that an order links to rise strictly in the order of its lines."""
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    return per.select("l_orderkey", t.links_in_order(F.col("x.l_partkey")).alias("in_order"))
 
 
 # -- directories as a mounted tree
@@ -96,33 +107,33 @@ def readdir_sorted(spark, sf):
 # -- lookups and joins
 
 
-@query("SELECT o_orderkey, o_custkey, c_name IS NOT NULL AS known, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS payload FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+@query("SELECT o_orderkey, o_custkey, c_name AS payload FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 2 = 0")
 def validated_only(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    met = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left")
-    return met.select("o_orderkey", "o_custkey", F.col("c_name").isNotNull().alias("known"), F.when(F.col("o_custkey") % 2 == 0, F.col("c_name")).alias("payload"))
+    """Orders whose customer is validated, with its payload only."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("payload"), (F.col("c_custkey") % 2 == 0).alias("validated"))
+    met = kv.multi_get(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey")
+    return met.where("validated").select("o_orderkey", "o_custkey", "payload")
 
 
-@query("SELECT event_type, min(event_id) AS first_source, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
+@query(f"WITH {LINKS} SELECT dns, did, min((sns, sid))[1] AS sns, min((sns, sid))[2] AS sid FROM links GROUP BY 1, 2")
 def first_source(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.min("event_id").alias("first_source"), F.count_distinct("user_id").alias("n_users"))
+    return first_sources(links(spark, sf))
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS inserted FROM events")
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS inserted FROM events")
 def distinct_insert(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").select("event_id", (rank == 1).alias("inserted"))
+    return kv.first_inserts(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "inserted")
 
 
 @query("SELECT event_type, count(*) AS calls, min(ts) AS first_call, max(ts) AS last_call, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM events GROUP BY 1")
 def op_counters(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.min("ts").alias("first_call"), F.max("ts").alias("last_call"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+    return audit.counters(table(spark, sf, "events"), "event_type", "ts", F.col("value").cast("decimal(18,2)"))
 
 
-@query("WITH pins AS (SELECT user_id % 7 AS scope, event_id AS generation FROM events WHERE event_type = 'signup') SELECT scope, max(generation) AS pinned, count(*) AS n_pins FROM pins GROUP BY 1")
+@query("WITH e AS (SELECT user_id % 7 AS scope, event_id AS generation, event_type FROM events), p AS (SELECT scope, max(generation) AS pinned FROM e WHERE event_type = 'signup' GROUP BY 1) SELECT p.scope, pinned, count(e.generation) AS n_retained FROM p LEFT JOIN e ON e.scope = p.scope AND e.generation <= pinned GROUP BY 1, 2")
 def max_pinned_generation(spark, sf):
-    pins = table(spark, sf, "events").where("event_type = 'signup'").select((F.col("user_id") % 7).alias("scope"), F.col("event_id").alias("generation"))
-    return pins.groupBy("scope").agg(F.max("generation").alias("pinned"), F.count("*").alias("n_pins"))
+    e = table(spark, sf, "events").select((F.col("user_id") % 7).alias("scope"), F.col("event_id").alias("generation"), "event_type")
+    return audit.pinned_objects(e.where("event_type = 'signup'").select("scope", "generation"), e)
 
 
 @query(f"{GRAPH}, pins AS (SELECT ns, id FROM objects WHERE ns = 'customer' AND id % 4 = 0) SELECT p.ns, p.id FROM pins p WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.ns = p.ns AND l.id = p.id)")
@@ -138,9 +149,12 @@ def pin_scope_mark(spark, sf):
     return closure(urgent(spark, sf).union(young), _links(spark, sf)).groupBy("ns").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {LINKS}, {ROOTS}, {LEVELS} SELECT level, count(*) AS n FROM (SELECT ns, id, min(level) AS level FROM walk GROUP BY ns, id) GROUP BY level")
+@query(f"""WITH RECURSIVE {LINKS}, {ROOTS}, walk(ns, id, level) AS (SELECT ns, id, 0::BIGINT FROM roots UNION SELECT l.dns, l.did, w.level + 1 FROM walk w JOIN links l ON l.sns = w.ns AND l.sid = w.id WHERE NOT (w.ns = 'customer' AND w.id % 2 = 0)),
+m AS (SELECT ns, id, min(level) AS level FROM walk GROUP BY 1, 2) SELECT level, ns = 'customer' AND id % 2 = 0 AS proven, count(*) AS n FROM m GROUP BY 1, 2""")
 def proof_frontier(spark, sf):
-    return closure(urgent(spark, sf), _links(spark, sf)).groupBy("level").agg(F.count("*").alias("n"))
+    """A walk that ends where closures are proven: those of every other customer."""
+    proven = objects(spark, sf).where("ns = 'customer' AND id % 2 = 0")
+    return walk_to_proofs(urgent(spark, sf), _links(spark, sf), proven).groupBy("level", "proven").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, want(ns, id) AS (SELECT 'orders', o_orderkey::BIGINT FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT l.dns, l.did FROM want JOIN links l ON l.sns = want.ns AND l.sid = want.id),
@@ -150,74 +164,88 @@ def fetch_selection(spark, sf):
     return sets.difference(closure(o.where("id % 3 = 0"), out), closure(o.where("id % 3 = 1"), out), ["ns", "id"])
 
 
-@query(f"WITH RECURSIVE {OBJECTS}, {LINKS}, {ROOTS}, {LIVE} SELECT l.ns, l.id FROM live l WHERE NOT (l.ns = 'part' AND l.id % 50 = 0)")
+@query(f"""WITH RECURSIVE {LINKS}, {ROOTS}, away(ns, id) AS (SELECT 'part', p_partkey::BIGINT FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'customer', c_custkey::BIGINT FROM customer WHERE c_custkey % 3 <> 1 UNION ALL SELECT 'orders', o_orderkey::BIGINT FROM orders WHERE o_orderkey % 2 = 0),
+walk(ns, id) AS (SELECT ns, id FROM roots r WHERE NOT EXISTS (SELECT 1 FROM away a WHERE a.ns = r.ns AND a.id = r.id) UNION SELECT l.dns, l.did FROM walk w JOIN links l ON l.sns = w.ns AND l.sid = w.id WHERE NOT EXISTS (SELECT 1 FROM away a WHERE a.ns = l.dns AND a.id = l.did)) SELECT ns, id FROM walk""")
 def availability_walk(spark, sf):
-    return closure(urgent(spark, sf), _links(spark, sf)).select("ns", "id").where("NOT (ns = 'part' AND id % 50 = 0)")
+    """What is reached without passing through what is gone."""
+    gone = objects(spark, sf).where("(ns = 'part' AND id % 50 = 0) OR (ns = 'customer' AND id % 3 <> 1) OR (ns = 'orders' AND id % 2 = 0)")
+    return available(urgent(spark, sf), _links(spark, sf), gone).select("ns", "id")
 
 
 @query("""WITH RECURSIVE refs AS (SELECT conv_id * 1000 + turn AS name, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS to_ref FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
-w(name, tgt, hops) AS (SELECT name, name, 0 FROM refs UNION ALL SELECT w.name, r.to_ref, hops + 1 FROM w JOIN refs r ON r.name = w.tgt WHERE r.to_ref IS NOT NULL AND hops < 32)
-SELECT name, arg_max(tgt, hops) AS target, max(hops)::BIGINT AS hops FROM w GROUP BY 1""")
+w(name, tgt, hops) AS (SELECT name, name, 0 FROM refs UNION ALL SELECT w.name, r.to_ref, hops + 1 FROM w JOIN refs r ON r.name = w.tgt WHERE r.to_ref IS NOT NULL AND hops < 9)
+SELECT name, max(w.tgt) FILTER (r.to_ref IS NULL) AS target, max(hops) FILTER (r.to_ref IS NULL)::BIGINT AS hops FROM w JOIN (SELECT name AS tgt, to_ref FROM refs) r USING (tgt) GROUP BY 1""")
 def symbolic_refs(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
     refs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("name"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("to"))
-    return tree.follow_refs(refs, 32)
+    return tree.follow_refs(refs, 9)
 
 
 # -- catalogs, repair, synchronization
 
 
-@query("WITH c AS (SELECT user_id, event_type, event_id, ts, event_id % 2 AS later FROM events), o AS (SELECT user_id, event_type, arg_max(event_id, (later, ts, event_id)) AS value FROM c GROUP BY 1, 2) SELECT user_id, event_type, value FROM o")
+@query("""WITH d AS (SELECT user_id, event_type, event_id % 2 AS later, arg_max(event_id, (ts, event_id)) AS value, arg_max(event_id % 5 = 0, (ts, event_id)) AS removed FROM events GROUP BY 1, 2, 3)
+SELECT user_id, event_type, CASE WHEN n.value IS NOT NULL THEN n.value ELSE o.value END AS value, CASE WHEN n.value IS NOT NULL THEN n.removed ELSE o.removed END AS removed FROM (FROM d WHERE later = 0) o FULL JOIN (FROM d WHERE later = 1) n USING (user_id, event_type)""")
 def delta_compose(spark, sf):
-    e = table(spark, sf, "events").withColumn("later", F.col("event_id") % 2)
-    return catalog.latest(e, ["user_id", "event_type"], [F.col("later"), F.col("ts"), F.col("event_id")], F.col("event_id"))
+    """Two deltas of events, with removals, as one."""
+    keys = ["user_id", "event_type"]
+    state = F.struct(F.col("event_id").alias("value"), (F.col("event_id") % 5 == 0).alias("removed"))
+    e = table(spark, sf, "events")
+    older, newer = (catalog.latest(e.where(F.col("event_id") % 2 == k), keys, [F.col("ts"), F.col("event_id")], state).select(*keys, "value.*") for k in (0, 1))
+    return catalog.compose(older, newer, keys)
 
 
-@query("WITH s AS (SELECT c_custkey, c_custkey % 16 AS shard, c_custkey % 5 <> 0 OR c_custkey % 16 > 7 AS stays FROM customer) SELECT shard, count(*) AS n, count(*) FILTER (NOT stays) AS n_lost, count(*) FILTER (NOT stays) > 0 AS rewrite FROM s GROUP BY 1")
+@query(f"WITH RECURSIVE {LINKS}, {ROOTS}, {LIVE}, s AS (SELECT c_custkey::BIGINT AS id, (('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT >> 26) AS shard FROM customer) SELECT shard, count(*) AS n, count(*) - count(l.id) AS n_lost, count(*) > count(l.id) AS rewrite FROM s LEFT JOIN live l ON l.ns = 'customer' AND l.id = s.id GROUP BY 1")
 def dense_retention(spark, sf):
-    s = table(spark, sf, "customer").select((F.col("c_custkey") % 16).alias("shard"), ((F.col("c_custkey") % 5 != 0) | (F.col("c_custkey") % 16 > 7)).alias("stays"))
-    return s.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(~F.col("stays")).alias("n_lost"), (F.count_if(~F.col("stays")) > 0).alias("rewrite"))
+    """Shards of customers, and which of them a collection writes anew."""
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("ns"), F.col("c_custkey").cast("long").alias("id"))
+    return catalog.dense_retention(catalog.shards(c, F.sha2(F.col("id").cast("string"), 256), 6), closure(urgent(spark, sf), _links(spark, sf)), ["ns", "id"])
 
 
-@query(f"WITH {DOCS}, n AS (SELECT doc_id, digest FROM docs WHERE doc_id % 3 <> 0), f AS (SELECT doc_id, digest, text FROM docs WHERE doc_id % 2 = 0) SELECT d.doc_id, coalesce(n.digest, f.digest) AS digest, n.doc_id IS NULL AND f.doc_id IS NOT NULL AS repaired FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)")
+@query(f"""WITH {DOCS}, s AS (SELECT doc_id, digest, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'healthy' WHEN doc_id % 2 = 0 THEN 'repaired' ELSE 'lost' END AS state, text FROM docs)
+SELECT doc_id, digest, state, CASE WHEN state <> 'lost' THEN strlen(text) END::BIGINT AS size FROM s""")
 def self_repairing_read(spark, sf):
-    docs = payloads(spark, sf).select("doc_id", "digest")
-    near, far = docs.where("doc_id % 3 <> 0").withColumnRenamed("digest", "near"), docs.where("doc_id % 2 = 0").withColumnRenamed("digest", "far")
-    met = docs.select("doc_id").join(near, "doc_id", "left").join(far, "doc_id", "left")
-    return met.select("doc_id", F.coalesce("near", "far").alias("digest"), (F.col("near").isNull() & F.col("far").isNotNull()).alias("repaired"))
+    """Near copies are missing for every third document and damaged for every fifth; far copies exist for even ones."""
+    docs = payloads(spark, sf).select("doc_id", "digest", F.col("text").cast("binary").alias("data"))
+    near = docs.where("doc_id % 3 <> 0").withColumn("data", F.when(F.col("doc_id") % 5 == 0, F.concat("data", F.lit(b"x"))).otherwise(F.col("data")))
+    got = catalog.repairing_read(docs, near, docs.where("doc_id % 2 = 0"), "doc_id")
+    return got.select("doc_id", "digest", "state", F.octet_length("data").cast("long").alias("size"))
 
 
-@query(f"WITH {DOCS}, q AS (SELECT digest, count(DISTINCT src % 2) > 1 AS conflict, count(*) AS n FROM docs GROUP BY 1) SELECT digest, CASE WHEN NOT conflict THEN n END AS facts, conflict AS quarantined FROM q")
+@query(f"WITH {DOCS} SELECT digest, CASE WHEN min(src % 4) = max(src % 4) THEN min(src % 4) END AS fact, count(*) AS n, min(src % 4) <> max(src % 4) AS quarantined FROM docs GROUP BY 1")
 def facts_quarantine(spark, sf):
-    q = _src(payloads(spark, sf)).groupBy("digest").agg((F.count_distinct(F.col("src") % 2) > 1).alias("conflict"), F.count("*").alias("n"))
-    return q.select("digest", F.when(~F.col("conflict"), F.col("n")).alias("facts"), F.col("conflict").alias("quarantined"))
+    """Facts on a payload that its holders disagree on are in quarantine."""
+    return audit.quarantine(_src(payloads(spark, sf)).select("digest", (F.col("src") % 4).alias("fact")), "digest", "fact")
 
 
-@query(f"WITH {DOCS} SELECT p.digest FROM (SELECT DISTINCT digest FROM docs) p WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.digest = p.digest AND d.doc_id % 4 <> 0)")
+@query(f"WITH RECURSIVE {OBJECTS}, {LINKS}, {ROOTS}, {LIVE}, proofs AS (SELECT ns, id FROM objects WHERE ns = 'customer' OR (ns = 'orders' AND id % 4 = 0)) SELECT ns, id FROM (FROM proofs EXCEPT SELECT ns, id FROM live)")
 def orphan_proofs(spark, sf):
-    docs = payloads(spark, sf)
-    return sets.difference(docs, docs.where("doc_id % 4 <> 0"), ["digest"])
+    """Closure proofs whose object a collection has dropped."""
+    proofs = objects(spark, sf).where("ns = 'customer' OR (ns = 'orders' AND id % 4 = 0)")
+    return sets.difference(proofs, closure(urgent(spark, sf), _links(spark, sf)), ["ns", "id"])
 
 
-@query("WITH s AS (SELECT c_custkey AS id, count(o_orderkey) AS n, count(*) FILTER (o_orderkey % 10 = 0) AS bad FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) SELECT id, CASE WHEN n = 0 THEN 'missing' WHEN bad > 0 THEN 'invalid' WHEN n < 5 THEN 'incomplete' ELSE 'complete' END AS status FROM s")
+@query(f"""WITH RECURSIVE {OBJECTS}, {LINKS}, {ROOTS}, here AS (SELECT ns, id FROM objects WHERE NOT (ns = 'part' AND id % 20 = 0) AND NOT (ns = 'orders' AND id % 9 = 0)),
+walk(ns, id) AS (SELECT DISTINCT dns, did FROM links l WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.ns = l.dns AND h.id = l.did) UNION SELECT l.sns, l.sid FROM walk w JOIN links l ON l.dns = w.ns AND l.did = w.id)
+SELECT r.ns, r.id, CASE WHEN h.id IS NULL THEN 'missing' WHEN w.id IS NOT NULL THEN 'incomplete' ELSE 'complete' END AS status FROM roots r LEFT JOIN here h USING (ns, id) LEFT JOIN walk w USING (ns, id)""")
 def finish_statuses(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey") % 10 == 0).alias("bad"))
-    met = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left").fillna(0, ["n", "bad"])
-    return met.select("id", F.when(F.col("n") == 0, "missing").when(F.col("bad") > 0, "invalid").when(F.col("n") < 5, "incomplete").otherwise("complete").alias("status"))
+    """Urgent orders transferred to a destination that lacks some parts and orders."""
+    here = objects(spark, sf).where("NOT (ns = 'part' AND id % 20 = 0) AND NOT (ns = 'orders' AND id % 9 = 0)")
+    return sync.finish_statuses(urgent(spark, sf), _links(spark, sf), here)
 
 
-@query("SELECT c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 'permanent' ELSE 'evictable' END AS retention, max(o_orderdate) AS last_use FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_custkey % 3 <> 0 GROUP BY 1, 2")
+@query("SELECT c_custkey AS name, c_custkey % 3 <> 0 AS evictable, CASE WHEN c_custkey % 3 <> 0 THEN greatest(max(o_orderdate), TIMESTAMP '1995-06-01') ELSE TIMESTAMP '1995-06-01' END AS last_use FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def root_retention(spark, sf):
-    uses = table(spark, sf, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("name")).agg(F.max("o_orderdate").alias("last_use"))
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "permanent").otherwise("evictable").alias("retention"))
-    return c.join(uses, "name", "left")
+    """Roots of customers, touched by their orders; permanent ones are not."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_custkey") % 3 != 0).alias("evictable"), F.lit("1995-06-01").cast("timestamp_ntz").alias("last_use"))
+    return sync.touch(c, table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderdate").alias("at")))
 
 
-@query(f"WITH {DOCS}, {LINES}, a AS (SELECT DISTINCT line FROM lines WHERE src < 5), b AS (SELECT DISTINCT line FROM lines WHERE src BETWEEN 5 AND 9) SELECT count(*) AS n_shared, sum(strlen(line))::BIGINT AS n_bytes FROM a JOIN b USING (line)")
+@query(f"WITH {DOCS}, {LINES}, a AS (SELECT DISTINCT line FROM lines WHERE src < 10), b AS (SELECT DISTINCT line FROM lines WHERE src >= 10) SELECT count(*) AS n_shared, sum(strlen(line))::BIGINT AS n_bytes FROM a JOIN b USING (line)")
 def shared_chunks(spark, sf):
     d = _src(table(spark, sf, "documents"))
     cut = lambda x: chunking.line_chunks(x, "doc_id", "text").select("chunk", "size").distinct()
-    return cut(d.where("src < 5")).join(cut(d.where("src BETWEEN 5 AND 9")).select("chunk"), "chunk", "left_semi").agg(F.count("*").alias("n_shared"), F.sum("size").alias("n_bytes"))
+    return cut(d.where("src < 10")).join(cut(d.where("src >= 10")).select("chunk"), "chunk", "left_semi").agg(F.count("*").alias("n_shared"), F.sum("size").alias("n_bytes"))
 
 
 @query(f"WITH {DOCS}, o AS (SELECT source, doc_id, digest FROM docs WHERE doc_id % 2 = 0), n AS (SELECT source, doc_id - 1 AS doc_id, digest FROM docs WHERE doc_id % 2 = 1) SELECT o.doc_id, o.digest AS old_digest, n.digest AS new_digest FROM o JOIN n USING (doc_id) WHERE o.digest <> n.digest")
@@ -228,22 +256,40 @@ def slice_base_pairs(spark, sf):
     return old.join(new, "doc_id").where("old_digest <> new_digest")
 
 
-@query("SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes, count(DISTINCT sha256(text)) AS n_payloads FROM documents GROUP BY 1")
+@query("SELECT source || '-' || (doc_id // 64) AS archive, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes, count(DISTINCT sha256(text)) AS n_payloads FROM documents GROUP BY 1")
 def archive_stats(spark, sf):
-    return payloads(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.count_distinct("digest").alias("n_payloads"))
+    """Archives as they are read back: entries, bytes and distinct payloads."""
+    return _archives(spark, sf).groupBy("archive").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("n_bytes"), F.count_distinct("sha256").alias("n_payloads"))
 
 
-@query("WITH p AS (SELECT page_id AS k, strlen(html)::BIGINT AS size FROM pages WHERE page_id <= 40), r AS (SELECT k, size, sum(size) OVER (ORDER BY k) AS upto, row_number() OVER (ORDER BY k) AS n FROM p) SELECT k, size FROM r WHERE upto <= 50000 OR n = 1")
+@query("WITH p AS (SELECT page_id AS k, strlen(html)::BIGINT AS size FROM pages ORDER BY page_id LIMIT 1024), r AS (SELECT k, size, sum(size) OVER (ORDER BY k) AS upto, row_number() OVER (ORDER BY k) AS n FROM p) SELECT k, size FROM r WHERE upto <= 50000 OR n = 1")
 def record_batch_budget(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.octet_length("html").cast("long").alias("size")).where("k <= 40")
+    """The first answer over all pages: 1,024 records and 50,000 bytes at most."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.octet_length("html").cast("long").alias("size"))
     return kv.page_bytes(p, "k", F.col("size"), 1024, 50_000)
 
 
-@query("SELECT 's' || s_suppkey AS name, 'n' || s_nationkey AS new FROM supplier WHERE s_suppkey % 2 = 0")
+@query("""WITH n AS (SELECT c_mktsegment || '/n' || c_nationkey || '/c' || c_custkey AS name FROM customer), r AS (SELECT DISTINCT c_mktsegment AS prefix, 'segment' AS policy FROM customer WHERE c_mktsegment < 'F' UNION ALL SELECT DISTINCT c_mktsegment || '/n' || c_nationkey, 'nation' FROM customer WHERE c_nationkey % 4 = 0 UNION ALL SELECT c_mktsegment || '/n' || c_nationkey || '/c' || c_custkey, 'own' FROM customer WHERE c_custkey % 10 = 0)
+SELECT name, arg_max(policy, strlen(prefix)) AS policy FROM n LEFT JOIN r ON name = prefix OR starts_with(name, prefix || '/') GROUP BY 1""")
 def policy_join(spark, sf):
-    s = table(spark, sf, "supplier")
-    want = s.select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("n"), "s_nationkey").alias("target"))
-    return sync.root_moves(want, want.where(F.substring("name", 2, 9).cast("long") % 2 != 0)).select("name", "new")
+    """The rule of the longest prefix for each root."""
+    c = table(spark, sf, "customer")
+    at = [F.col("c_mktsegment"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey")]
+    rule = lambda rows, n, policy: rows.select(F.concat_ws("/", *at[:n]).alias("prefix"), F.lit(policy).alias("policy")).distinct()
+    rules = rule(c.where("c_mktsegment < 'F'"), 1, "segment").union(rule(c.where("c_nationkey % 4 = 0"), 2, "nation")).union(rule(c.where("c_custkey % 10 = 0"), 3, "own"))
+    return sync.policies(c.select(F.concat_ws("/", *at).alias("name")), rules)
+
+
+def _archives(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 64)).alias("archive"), F.concat_ws("/", "source", F.col("doc_id")).alias("path"), "text")
+    made = d.groupBy("archive").agg(F.collect_list(F.struct("path", "text")).alias("files"))  # 64 files at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [archives.write_tar([(f["path"], (f["text"] or "").encode(), False) for f in own]) for own in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["path", "content"])
+
+    return archives.parse_tar(made.mapInArrow(run, "path string, content binary"))
 
 
 # -- what SQL cannot express: codecs, content-defined chunks, proofs, archives
@@ -336,29 +382,18 @@ def sliced_delta(spark, sf):
     return pairs.mapInArrow(run, "doc_id long, base_id long, n_tokens long, copy_bytes long, literal_bytes long, equal boolean")
 
 
-@query(None)
+@query("SELECT source || '-' || (doc_id // 64) AS archive, source || '/' || doc_id AS path, 'file' AS kind, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
 def tar_roundtrip(spark, sf):
     """Documents written to archives of 64 at most, and read back as entries."""
-    d = table(spark, sf, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 64)).alias("archive"), F.concat_ws("/", "source", F.col("doc_id")).alias("path"), "text")
-    made = d.groupBy("archive").agg(F.collect_list(F.struct("path", "text")).alias("files"))  # 64 files at most
+    return _archives(spark, sf).select("archive", "path", "kind", "size", "sha256")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [archives.write_tar([(f["path"], (f["text"] or "").encode(), False) for f in own]) for own in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["path", "content"])
 
-    return archives.parse_tar(made.mapInArrow(run, "path string, content binary")).drop("data")
+_LE = "unhex(format('" + "{:02x}" * 4 + "00000000', strlen(text) % 256, (strlen(text) // 256) % 256, (strlen(text) // 65536) % 256, strlen(text) // 16777216))"
+_NAR = "unhex('" + archives.nar_head().hex() + "') || " + _LE + " || encode(text) || unhex(repeat('00', ((8 - strlen(text) % 8) % 8)::INT)) || unhex('" + archives.nar_tail().hex() + "')"
 
 
-@query(None)
+@query(f"SELECT doc_id, octet_length({_NAR})::BIGINT AS nar_size, sha256({_NAR}) AS nar_sha256 FROM documents")
 def nar_measure(spark, sf):
-    """Size and SHA-256 of each text as a one-file archive."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for b in batches:
-            raw = [archives.nar(("file", (x or "").encode(), False)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw])], ["doc_id", "nar_size", "nar_sha256"])
-
-    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, nar_size long, nar_sha256 string")
+    """Size and SHA-256 of each text as a one-file archive, made by column expressions."""
+    got = table(spark, sf, "documents").select("doc_id", archives.nar_file(F.col("text").cast("binary")).alias("x"))
+    return got.select("doc_id", F.octet_length("x").cast("long").alias("nar_size"), F.sha2("x", 256).alias("nar_sha256"))

@@ -151,13 +151,12 @@ def kv_prefix_scan(spark, sf):
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://m.')")
 def kv_raw_prefix_scan(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
-    return pages.where(kv.raw_prefix(F.col("url").cast("binary"), b"https://m."))
+    return pages.where(kv.raw_prefix(F.col("url"), "https://m."))
 
 
 @query("SELECT page_id, url FROM pages WHERE url > 'https://b' ORDER BY url, page_id LIMIT 100")
 def kv_keyset_page(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    return pages.where(F.col("url") > "https://b").orderBy("url", "page_id").limit(100)
+    return kv.page(table(spark, sf, "pages").select("page_id", "url"), "url", 100, after="https://b", ties=["page_id"])
 
 
 @query("""WITH p AS (SELECT page_id, strlen(html)::BIGINT AS size FROM pages WHERE page_id > 20 ORDER BY page_id LIMIT 64), r AS (SELECT page_id, size, sum(size) OVER (ORDER BY page_id) AS upto, row_number() OVER (ORDER BY page_id) AS n FROM p)
@@ -342,8 +341,7 @@ def path_resolve(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", tree.parts(url_path()).alias("components"))
     c = F.col("components")
     chain = pages.where("page_id % 3 <> 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.struct(F.array_join(F.slice(c, 1, i - 1), "/").alias("dir"), F.element_at(c, i).alias("name"), F.array_join(F.slice(c, 1, i), "/").alias("child")))).alias("x"))
-    depth = pages.agg(F.max(F.size(c))).first()[0] or 0
-    return tree.resolve(pages.withColumnRenamed("page_id", "path_id"), chain.select("x.*").distinct(), depth)
+    return tree.resolve(pages.withColumnRenamed("page_id", "path_id"), chain.select("x.*").distinct())
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, (epoch(ts)::BIGINT // 86400) AS layer FROM events), w AS (SELECT user_id, max(layer) AS cut FROM e WHERE event_type = 'error' GROUP BY 1),
@@ -391,7 +389,8 @@ def lru_first(spark, sf):
 def stale_payloads(spark, sf):
     docs = payloads(spark, sf)
     gone = docs.where("doc_id % 4 = 1").select("doc_id", "digest")
-    return gone.join(docs.where("doc_id % 4 <> 1").select("digest"), "digest", "left_anti").select("doc_id", "digest", F.lit("deleted").alias("state"))
+    unused = sets.stale(gone, docs.where("doc_id % 4 IN (2, 3)"), docs.where("doc_id % 4 = 0"), ["digest"])
+    return gone.join(unused, "digest", "left_semi").select("doc_id", "digest", F.lit("deleted").alias("state"))
 
 
 @query(f"WITH {DOCS}, a AS (SELECT DISTINCT digest FROM docs WHERE src < 12), b AS (SELECT DISTINCT digest FROM docs WHERE src >= 8) SELECT digest, 'left' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT digest, 'right' FROM (FROM b EXCEPT FROM a)")

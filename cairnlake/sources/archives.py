@@ -12,7 +12,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "archive string, path string, kind string, size long, executable boolean, target string, sha256 string, data binary"
@@ -113,11 +113,13 @@ def write_tar(entries: list[tuple[str, bytes, bool]]) -> bytes:
     return out.getvalue()
 
 
+def _nar_string(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + x + b"\0" * (-len(x) % 8)
+
+
 def nar(node: tuple) -> bytes:
     """The canonical serialisation of a tree: ("file", data, executable), ("symlink", target) or ("directory", {name: node})."""
-
-    def s(x: bytes) -> bytes:
-        return len(x).to_bytes(8, "little") + x + b"\0" * (-len(x) % 8)
+    s = _nar_string
 
     def of(n: tuple) -> bytes:
         if n[0] == "file":
@@ -130,6 +132,24 @@ def nar(node: tuple) -> bytes:
     return s(b"nix-archive-1") + of(node)
 
 
+def nar_head() -> bytes:
+    """What stands before the length of a plain file's data in its archive."""
+    return b"".join(map(_nar_string, (b"nix-archive-1", b"(", b"type", b"regular", b"contents")))
+
+
+def nar_tail() -> bytes:
+    """What follows the data of a plain file and its padding."""
+    return _nar_string(b")")
+
+
+def nar_file(data: Column) -> Column:
+    """The archive of one plain file as a column expression."""
+    n = F.octet_length(data)
+    size = F.lpad(F.hex(n.cast("long")), 16, "0")
+    little = F.unhex(F.concat(*(F.substring(size, 15 - 2 * k, 2) for k in range(8))))
+    return F.concat(F.lit(nar_head()), little, data, F.unhex(F.repeat(F.lit("00"), F.pmod(-n, F.lit(8)))), F.lit(nar_tail()))
+
+
 def write_bundle(records: DataFrame, payloads: DataFrame, roots: DataFrame, path: str, mode: str = "error") -> None:
     """A closure-complete bundle: sorted roots, records, and payloads once each, by digest."""
     roots.orderBy("name").coalesce(1).write.mode(mode).parquet(f"{path}/roots")
