@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
@@ -320,6 +321,32 @@ def verify_range(root: bytes, size: int, offset: int, length: int, blocks: list[
     return b"".join(blocks)[offset - first * block :][:length]
 
 
+# -- compression
+
+
+def compress(data: bytes, level: int = 3) -> bytes:
+    """A frame that says how long its content is."""
+    return zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True).compress(data)
+
+
+def decompress(frame: bytes, most: int) -> bytes:
+    """The content of a whole frame; one that says or holds more than ``most`` bytes, or is followed by others, is an error before it is unpacked further."""
+    said = zstandard.get_frame_parameters(frame).content_size
+    if said not in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR) and said > most:
+        raise ValueError(f"the frame holds {said} bytes")
+    unpack, out, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
+    for k in range(0, len(frame), 4096):
+        out.append(unpack.decompress(frame[k : k + 4096]))
+        size += len(out[-1])
+        if size > most:
+            raise ValueError(f"the frame holds more than {most} bytes")
+        if unpack.eof and (unpack.unused_data or k + 4096 < len(frame)):
+            raise ValueError("bytes follow the frame")
+    if not unpack.eof:
+        raise ValueError("the frame is truncated")
+    return b"".join(out)
+
+
 # -- deltas
 
 

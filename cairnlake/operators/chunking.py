@@ -115,3 +115,21 @@ def read_range(manifest: DataFrame, chunks: DataFrame, key: str, offset: int, le
     part = F.when(ok, F.substring("_data", low + 1, high - low))
     got = at.groupBy(key).agg(F.bool_and(ok).alias("_ok"), F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))).alias("_parts"))  # the chunks of one range
     return got.select(key, F.when(F.col("_ok"), F.unhex(F.array_join(F.transform("_parts", lambda x: F.hex(x["part"])), ""))).alias("data"))
+
+
+def overwrite(manifest: DataFrame, chunks: DataFrame, key: str, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest, new chunks) after patches (key, offset, patch) of the same length as what they replace; a patch beyond the end of its payload changes what lies inside.
+
+    One patch a payload. Chunks keep their bounds, and only those that a patch touches are read and stored anew.
+    """
+    at = offsets(manifest, key).join(patches.select(key, "offset", "patch"), key, "left")
+    size = F.octet_length("patch")
+    hit = F.col("patch").isNotNull() & (size > 0) & (F.col("start") < F.col("offset") + size) & (F.col("start") + F.col("size") > F.col("offset"))
+    met = at.where(hit).join(chunks.select("chunk", F.col("data").alias("_data")), "chunk")
+    low, skip = F.greatest(F.col("offset") - F.col("start"), F.lit(0)).cast("int"), F.greatest(F.col("start") - F.col("offset"), F.lit(0)).cast("int")
+    n = F.least(size - skip, F.col("size").cast("int") - low).cast("int")
+    new = F.concat(F.substring("_data", F.lit(1), low), F.substring("patch", skip + 1, n), F.substring("_data", low + n + 1, F.col("size").cast("int")))
+    made = met.select(key, "ord", new.alias("data")).withColumn("_chunk", F.sha2("data", 256))
+    out = manifest.join(made.select(key, "ord", "_chunk"), [key, "ord"], "left").select(key, "ord", F.coalesce("_chunk", "chunk").alias("chunk"), "size")
+    fresh = made.select(F.col("_chunk").alias("chunk"), "data").dropDuplicates(["chunk"]).join(chunks.select("chunk"), "chunk", "left_anti")
+    return out, fresh

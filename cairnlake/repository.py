@@ -9,6 +9,7 @@ Tables of a version:
 * ``entries`` (dir, name, kind, child, size, executable, target): directory contents
 * ``payloads`` (digest, size, data): bytes, once each; null data of a payload that is kept in chunks
 * ``manifests`` (digest, ord, chunk, size), ``chunks`` (chunk, data): payloads of ``CHUNKED`` bytes and more, cut by content
+* ``ingested`` (path, at, size, digest): files as they were when a folder was imported
 * ``roots`` (name, ns, id, evictable, last_use)
 * ``pins`` (token, generation): snapshots that collection must spare
 
@@ -29,6 +30,7 @@ from cairnlake.operators import audit, chunking, kv, sync
 from cairnlake.operators.closure import closure, first_missing
 from cairnlake.plans.spool import spool
 from cairnlake.plans.versioned import StaleRevision, Store, Version, new_rows
+from cairnlake.sources import git, images
 from cairnlake.sources.archives import read_bundle, write_bundle
 
 KEY = ["ns", "id"]
@@ -40,9 +42,12 @@ TABLES = {
     "payloads": "digest string, size long, data binary",
     "manifests": "digest string, ord long, chunk string, size long",
     "chunks": "chunk string, data binary",
+    "ingested": "path string, at timestamp, size long, digest string",
     "roots": "name string, ns string, id string, evictable boolean, last_use long",
     "pins": "token string, generation long",
 }
+#: Changed files of a folder that are read one by one.
+READ_FILES = 100_000
 #: Payloads of so many bytes are kept in chunks of this size on average.
 CHUNKED, CHUNK_BYTES = 1 << 20, 1 << 16
 
@@ -284,13 +289,17 @@ class Repository:
         return {name: self.import_files(files.where(F.col("root") == name).drop("root"), name) for name in names}
 
     def import_files(self, files: DataFrame, root: str | None) -> str:
-        """Publish files (path, data[, executable]) as a directory tree under a root, or without one; returns the tree's id.
+        """Publish files (path, data[, executable, target]) as a directory tree under a root, or without one; returns the tree's id.
+
+        A file with a ``target`` is a symbolic link. Files whose ``digest`` and ``size`` are given may have no data, if it is stored already.
 
         A level of directories is written once; the entries of one directory are one row, as its digest is of all of them.
         """
-        f = files if "executable" in files.columns else files.withColumn("executable", F.lit(False))
-        f = spool(f.select("path", "executable", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("size"), "data"), "import-files")
-        level = f.select("path", F.lit("file").alias("kind"), F.col("digest").alias("child"), "size", "executable", F.lit(None).cast("string").alias("target"))
+        given = {"executable": F.lit(False), "target": F.lit(None).cast("string"), "digest": F.sha2("data", 256), "size": F.octet_length("data").cast("long")}
+        f = spool(files.select("path", "data", *(F.col(c) if c in files.columns else x.alias(c) for c, x in given.items())), "import-files")
+        kind = F.when(F.col("target").isNotNull(), "symlink").otherwise("file")
+        level = f.select("path", kind.alias("kind"), F.when(kind == "file", F.col("digest")).alias("child"), F.when(kind == "file", F.col("size")).otherwise(F.octet_length("target")).cast("long").alias("size"), "executable", "target")
+        f = f.where("target IS NULL")
         depth = level.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
         every = None
         parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
@@ -308,7 +317,7 @@ class Repository:
             raise ValueError("there are no files")
         top = every.where("path = ''").first()["child"]
         entries = every.select(F.col("child").alias("dir"), F.inline("e")).distinct()
-        bodies = every.select(F.col("child").alias("digest"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("data")).unionByName(f.select("digest", "size", "data")).dropDuplicates(["digest"])
+        bodies = every.select(F.col("child").alias("digest"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("data")).unionByName(f.where("data IS NOT NULL").select("digest", "size", "data")).dropDuplicates(["digest"])
         ns = lambda kind: F.when(kind == "directory", "directory.v1").otherwise("blob.v1")
         links = entries.where("kind <> 'symlink'").select(F.lit("directory.v1").alias("sns"), F.col("dir").alias("sid"), ns(F.col("kind")).alias("dns"), F.col("child").alias("did")).distinct()
         objects = every.select(F.lit("directory.v1").alias("ns"), F.col("child").alias("id"), F.col("child").alias("payload"), F.octet_length("text").cast("long").alias("size")).union(f.select(F.lit("blob.v1"), "digest", "digest", "size")).distinct()
@@ -316,6 +325,41 @@ class Repository:
         self.publish(objects, links, bodies, roots, entries)
         return top
 
+    def import_image(self, path: str, root: str, platform: str | None = None) -> tuple[str, dict]:
+        """Publish the merged tree of an image layout; its id, and the image's config."""
+        config, layers = images.read_layout(self.spark, path, platform)
+        return self.import_files(images.image_files(layers), root), config
+
+    def import_git(self, objects: DataFrame, commit: str, root: str) -> str:
+        """Publish the tree that a commit names among objects (oid, kind, body), of packs or loose."""
+        return self.import_files(git.view(objects, commit), root)
+
+    def import_folder(self, folder: str, root: str) -> tuple[str, int]:
+        """Publish the files under a folder; the tree's id, and how many files were read.
+
+        Files of the path, size and time of change of an earlier import are not read again. Files to be read are named by the driver, at most
+        ``READ_FILES`` of them; beyond that all are read.
+        """
+        top = folder.rstrip("/")
+        every = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+        seen = spool(every.select("path", F.col("modificationTime").alias("at"), F.col("length").alias("size")), "folder")
+        known = self.version().read("ingested").groupBy("path", "at", "size").agg(F.max("digest").alias("digest"))
+        known = known.join(self.version().read("payloads").select("digest"), "digest", "left_semi")
+        met = spool(seen.join(known, ["path", "at", "size"], "left"), "folder-met")
+        fresh = [r["path"] for r in met.where("digest IS NULL").select("path").limit(READ_FILES + 1).collect()]
+        if len(fresh) > READ_FILES:
+            met, read = seen.withColumn("digest", F.lit(None).cast("string")), every
+        else:
+            read = self.spark.read.format("binaryFile").load(fresh) if fresh else every.limit(0)
+        read = spool(read.select("path", F.sha2("content", 256).alias("_new"), F.col("content").alias("data")), "folder-read")
+        plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+        start = len(self.spark.range(1).select(plain(F.lit(f"{top}/"))).first()[0]) + 1
+        files = met.join(read, "path", "left").select("path", "at", F.substring(plain(F.col("path")), start, 1 << 20).alias("name"), "size", F.coalesce("digest", "_new").alias("digest"), "data")
+        files = spool(files, "folder-files")
+        tree = self.import_files(files.select(F.col("name").alias("path"), "data", "digest", "size"), root)
+        self.store.commit(self.version(), append={"ingested": files.where("data IS NOT NULL").select(*_columns("ingested"))})
+        return tree, read.count()
+
     def checkout(self, directory: str, target: str) -> int:
         """Write a tree beside ``target`` and rename it into place; ``target`` must not exist. Returns the files written.
 

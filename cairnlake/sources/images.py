@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.operators.tree import merge_layers
+from cairnlake.plans.spool import spool
 from cairnlake.sources.archives import clean_path
 
 
@@ -29,7 +30,43 @@ def select_platform(entries: list[dict], wanted: str | None = None) -> str:
     return fits[0]["digest"]
 
 
-_LAYER = "layer long, path string, kind string, value string, mark string"
+_LAYER = "layer long, path string, kind string, value string, mark string, executable boolean, data binary"
+
+
+def read_layout(spark: SparkSession, path: str, platform: str | None = None) -> tuple[dict, DataFrame]:
+    """(config, layers) of an image layout: its index, the manifest for a platform, its config, and (layer, content) of its layers.
+
+    Index, manifest and config are small; layers stay a table. Every blob that is read must have its digest and size.
+    """
+    import json
+
+    def file(name: str) -> bytes:
+        return bytes(spark.read.format("binaryFile").load(f"{path}/{name}").select("content").first()["content"])
+
+    def blob(entry: dict) -> bytes:
+        algorithm, _, digest = entry["digest"].partition(":")
+        data = file(f"blobs/{algorithm}/{digest}")
+        if algorithm != "sha256" or hashlib.sha256(data).hexdigest() != digest or len(data) != entry.get("size", len(data)):
+            raise ValueError(f"{entry['digest']} is damaged")
+        return data
+
+    if json.loads(file("oci-layout")).get("imageLayoutVersion", "").split(".")[0] != "1":
+        raise ValueError("not an image layout of version 1")
+    found = json.loads(file("index.json"))
+    while "manifests" in found:  # an index may name another
+        by = {e["digest"]: e for e in found["manifests"]}
+        found = json.loads(blob(by[select_platform(list(by.values()), platform if len(by) > 1 else None)]))
+    config = json.loads(blob(found["config"]))
+    if len(config.get("rootfs", {}).get("diff_ids", found["layers"])) != len(found["layers"]):
+        raise ValueError("the config names other layers than the manifest")
+    names = [e["digest"].partition(":")[2] for e in found["layers"]]
+    if not names:
+        return config, spark.createDataFrame([], "layer long, content binary")
+    places = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "layer long, digest string")
+    files = spark.read.format("binaryFile").load(sorted({f"{path}/blobs/sha256/{n}" for n in names}))
+    sound = F.assert_true(F.sha2("content", 256) == F.col("digest"), F.concat("digest", F.lit(" is damaged")))
+    layers = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("digest"), "content").join(places, "digest").where(sound.isNull())
+    return config, layers.select("layer", "content")
 
 
 def layer_entries(layers: DataFrame) -> DataFrame:
@@ -53,14 +90,15 @@ def layer_entries(layers: DataFrame) -> DataFrame:
                         if seen.setdefault(path, kind) != kind or (path in {r[1] for r in rows if r[2] != "directory"}):
                             raise ValueError(f"a path is given twice in layer {layer}: {path!r}")
                         if name == ".wh..wh..opq":
-                            rows.append((layer, parent, "file", None, "opaque"))
+                            rows.append((layer, parent, "file", None, "opaque", False, None))
                         elif name.startswith(".wh."):
-                            rows.append((layer, f"{parent}/{name[4:]}".lstrip("/"), "file", None, "whiteout"))
+                            rows.append((layer, f"{parent}/{name[4:]}".lstrip("/"), "file", None, "whiteout", False, None))
                         else:
-                            value = m.linkname if m.issym() else hashlib.sha256(tar.extractfile(m).read()).hexdigest() if m.isreg() else None
-                            rows.append((layer, path, kind, value, None))
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["layer", "path", "kind", "value", "mark"])
+                            data = tar.extractfile(m).read() if m.isreg() or m.islnk() else None
+                            value = m.linkname if m.issym() else None if data is None else hashlib.sha256(data).hexdigest()
+                            rows.append((layer, path, kind, value, None, bool(m.mode & 0o100), data))
+                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["layer", "path", "kind", "value", "mark", "executable", "data"])
 
     return layers.select(F.col("layer").cast("long").alias("layer"), "content").mapInArrow(run, _LAYER)
 
@@ -72,6 +110,30 @@ def root_filesystem(layers: DataFrame) -> DataFrame:
     return merge_layers(entries, e.where("mark IS NOT NULL").select("layer", "path", (F.col("mark") == "opaque").alias("opaque")))
 
 
+def image_files(layers: DataFrame) -> DataFrame:
+    """(path, data, executable, target) of the files and links of an image's merged layers; empty directories are left out."""
+    e = spool(layer_entries(layers), "image-entries")
+    merged = merge_layers(
+        e.where("mark IS NULL").select("layer", "path", "value", (F.col("kind") == "directory").alias("is_dir")),
+        e.where("mark IS NOT NULL").select("layer", "path", (F.col("mark") == "opaque").alias("opaque")),
+    ).select("layer", "path")
+    own = e.where("mark IS NULL AND kind <> 'directory'").join(merged, ["layer", "path"], "left_semi")
+    link = F.col("kind") == "symlink"
+    return own.select("path", "data", "executable", F.when(link, F.col("value")).alias("target"))
+
+
+def nar_files(node: tuple, at: str = "") -> list[tuple[str, bytes | None, bool, str | None]]:
+    """(path, data, executable, target) of the files and links of a tree that ``parse_nar`` read."""
+    out, todo = [], [(at, node)]
+    while todo:
+        path, n = todo.pop()
+        if n[0] == "directory":
+            todo += [(f"{path}/{k.decode()}".lstrip("/"), v) for k, v in n[1].items()]
+        else:
+            out.append((path, n[1], n[2], None) if n[0] == "file" else (path, None, False, n[1].decode()))
+    return sorted(out)
+
+
 def parse_nar(data: bytes) -> tuple:
     """The tree of a canonical archive, the inverse of ``archives.nar``; anything not canonical is an error."""
     at = 0
@@ -185,8 +247,16 @@ def object_links(objects: DataFrame) -> DataFrame:
 
 
 def advertise(refs: DataFrame) -> DataFrame:
-    """(position, oid, name) of references (name, oid), HEAD first, then by bytes of the name."""
+    """(position, oid, name) of references (name, oid), HEAD first, then by bytes of the name.
+
+    Places are counted within ranges of names and then summed over the ranges, so that no task orders all references.
+    """
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.when(F.col("name") == "HEAD", 0).otherwise(1), F.col("name").cast("binary"))
-    return refs.select(F.row_number().over(order).alias("position"), "oid", "name")
+    key = [F.when(F.col("name") == "HEAD", 0).otherwise(1), F.col("name").cast("binary")]
+    dealt = refs.select("oid", "name").repartitionByRange(*key).withColumn("_part", F.spark_partition_id())
+    dealt = spool(dealt, "refs")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
+    return dealt.withColumn("_place", place).join(F.broadcast(parts), "_part").select((F.col("_place") + F.col("_before")).cast("int").alias("position"), "oid", "name")

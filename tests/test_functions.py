@@ -146,3 +146,16 @@ def test_expressions(spark):
 def test_blake3_in_sql(spark):
     c.register(spark)
     assert bytes(spark.sql("SELECT blake3(CAST('hello' AS BINARY))").first()[0]).hex().startswith("ea8f163d")
+
+
+def test_compression_is_bounded():
+    import pytest
+
+    from cairnlake.functions.codecs import compress, decompress
+
+    data = b"some text " * 5000
+    frame = compress(data)
+    assert decompress(frame, len(data)) == data and len(frame) < 1000 and decompress(compress(b""), 0) == b""
+    for bad, most in ((frame, len(data) - 1), (frame[:-3], len(data)), (frame + b"x", len(data))):
+        with pytest.raises(ValueError):
+            decompress(bad, most)

@@ -204,3 +204,123 @@ def test_following(spark, tmp_path):
 
     assert arrive([(1, "a", 1, False), (2, "b", 1, False), (1, "aa", 2, False)]) == {(1, "aa"), (2, "b")}
     assert arrive([(2, "", 3, True), (1, "old", 0, False), (3, "c", 1, False)]) == {(1, "aa"), (3, "c")}
+
+
+def test_deep_graphs_are_contracted(spark, monkeypatch):
+    """A chain of 2,000, branches, a cycle on the way and stops: levels as by plain walking."""
+    import random
+
+    from cairnlake.operators import closure as c
+
+    rnd = random.Random(3)
+    edges = {(k, k + 1) for k in range(2000)} | {(2000, 5000), (5000, 5001), (5001, 5002), (5002, 5000)} | {(300, 6000), (6000, 1500), (40, 41), (9000, 9001), (9001, 9000)}
+    edges |= {(7000 + k, 7000 + rnd.randrange(k)) for k in range(1, 40)} | {(1999, 7039)}
+    links = spark.createDataFrame([("n", a, "n", b) for a, b in edges], "sns string, sid long, dns string, did long")
+    seeds = spark.createDataFrame([("n", 0)], "ns string, id long")
+
+    def walk(stop=()):
+        level, front = {0: 0}, [0]
+        out = {}
+        for a, b in edges:
+            out.setdefault(a, []).append(b)
+        while front:
+            new = []
+            for a in front:
+                for b in out.get(a, []) if a not in stop else []:
+                    if b not in level:
+                        level[b] = level[a] + 1
+                        new.append(b)
+            front = new
+        return level
+
+    assert {r["id"]: r["level"] for r in c.closure(seeds, links).collect()} == walk()
+    stop = spark.createDataFrame([("n", 1700)], "ns string, id long")
+    assert {r["id"]: r["level"] for r in c.closure(seeds, links, stop=stop).collect()} == walk({1700})
+    with pytest.raises(ValueError):
+        c.closure(seeds, links, max_nodes=1000)
+    assert {r["id"]: r["level"] for r in c.closure(seeds, links, max_level=900).collect()} == {k: v for k, v in walk().items() if v <= 900}
+
+
+def test_references_end_or_fail(spark):
+    refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("z", "nowhere")], "name string, to string")
+    got = {r["name"]: (r["target"], r["hops"]) for r in tree.follow_refs(refs, 5).collect()}
+    assert got == {"a": ("c", 2), "b": ("c", 1), "c": ("c", 0), "x": (None, None), "y": (None, None), "z": ("nowhere", 1)}
+    assert {r["name"]: r["target"] for r in tree.follow_refs(refs, 1).collect()}["a"] is None
+
+
+def test_lost_writers_block_nobody(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([(1, "a")], "key long, value string")
+    v = store.commit(None, {"kv": rows})
+    (tmp_path / "s" / "versions" / "draft-lost").write_bytes(b"")
+    rows.write.parquet(f"{tmp_path}/s/data/kv-lost")
+    v = store.commit(v, append={"kv": rows})
+    assert v.read("kv").count() == 2 and store.sweep(0) == 2 and store.version().read("kv").count() == 2
+    with pytest.raises(Exception, match="no such table"):
+        store._claim = lambda *_: (_ for _ in ()).throw(OSError("no such table"))
+        store.commit(v, append={"kv": rows})  # other failures are not taken for a lost race
+
+
+def test_healing_reads(spark):
+    import hashlib
+
+    rows = [(k, hashlib.sha256(b"%d" % k).hexdigest(), b"%d" % k) for k in range(4)]
+    wanted = spark.createDataFrame(rows, "k long, digest string, data binary")
+    near = spark.createDataFrame([(0, b"0"), (1, b"bad")], "k long, data binary")
+    far = spark.createDataFrame([(1, b"1"), (2, b"2"), (3, b"bad")], "k long, data binary")
+    got = {r["k"]: (r["state"], r["data"] and bytes(r["data"])) for r in catalog.repairing_read(wanted, near, far, "k").collect()}
+    assert got == {0: ("healthy", b"0"), 1: ("repaired", b"1"), 2: ("repaired", b"2"), 3: ("lost", None)}
+
+
+def test_composed_deltas_do_what_both_do(spark):
+    schema = "k long, value string, removed boolean"
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, value string")
+    one = spark.createDataFrame([(1, "aa", False), (2, None, True), (4, "d", False)], schema)
+    two = spark.createDataFrame([(2, "bb", False), (4, None, True), (5, "e", False)], schema)
+    step = catalog.apply_delta(catalog.apply_delta(base, one, ["k"]), two, ["k"])
+    assert {tuple(r) for r in catalog.apply_delta(base, catalog.compose(one, two, ["k"]), ["k"]).collect()} == {tuple(r) for r in step.collect()} == {(1, "aa"), (2, "bb"), (3, "c"), (5, "e")}
+
+
+def test_overwrites_keep_bounds(spark):
+    import hashlib
+    import random
+
+    rnd = random.Random(2)
+    bodies = {k: bytes(rnd.randrange(97, 100) for _ in range(200)) for k in range(6)}
+    cut = chunking.content_chunks(spark.createDataFrame(list(bodies.items()), "k long, data binary"), "k", F.col("data"), 16, with_data=True)
+    manifest, chunks = cut.drop("data"), cut.select("chunk", "data").dropDuplicates(["chunk"])
+    patches = {0: (0, b"XYZ"), 1: (50, b"long patch " * 5), 2: (190, b"beyond the end"), 3: (199, b"!"), 4: (10, b"")}
+    new, fresh = chunking.overwrite(manifest, chunks, "k", spark.createDataFrame([(k, o, p) for k, (o, p) in patches.items()], "k long, offset long, patch binary"))
+    held = {r["chunk"]: bytes(r["data"]) for r in chunks.union(fresh.select("chunk", "data")).collect()}
+    assert all(hashlib.sha256(v).hexdigest() == k for k, v in held.items())
+    got = {}
+    for r in new.orderBy("k", "ord").collect():
+        got[r["k"]] = got.get(r["k"], b"") + held[r["chunk"]]
+    want = {k: (b[:o] + p + b[o + len(p) :])[: len(b)] if (o := patches.get(k, (0, b""))[0]) is not None and (p := patches.get(k, (0, b""))[1]) is not None else b for k, b in bodies.items()}
+    assert got == want and fresh.count() < chunks.count()
+
+
+def test_records(spark, tmp_path):
+    from cairnlake.plans.records import Batch, Records
+
+    records = Records(Store(spark, f"file://{tmp_path}/s"))
+    b = Batch()
+    for k in range(10):
+        b.set("n", b"a/%d" % k, b"%d" % k)
+    v1 = records.commit(b.set("n", b"b", b"x").set("m", b"a/1", b"other"))
+    assert records.get([("n", b"a/3"), ("n", b"none"), ("n", b"a/3"), ("m", b"a/1")]) == [b"3", None, b"3", b"other"]
+    v2 = records.commit(Batch().expect("n", b"a/3", b"3").expect("n", b"z", None).set("n", b"a/3", b"three").set("n", b"a/4", None))
+    with pytest.raises(Conflict) as e:
+        records.commit(Batch().expect("n", b"b", b"x").expect("n", b"a/3", b"3").set("n", b"b", None))
+    assert e.value.check == 1
+    with pytest.raises(StaleRevision):
+        records.commit(Batch().set("n", b"b", None), v1)
+    assert records.get([("n", b"a/3"), ("n", b"a/4")]) == [b"three", None] and records.get([("n", b"a/4")], v1) == [b"4"]
+    page, cursor = records.scan("n", b"a/", limit=4)
+    assert [k for k, _ in page] == [b"a/0", b"a/1", b"a/2", b"a/3"] and cursor == b"a/3"
+    rest, end = records.scan("n", b"a/", after=cursor)
+    assert [k for k, _ in rest] == [b"a/%d" % k for k in range(5, 10)] and end is None and len(v2.tables["records"]) == 3
+    with pytest.raises(ValueError):
+        Batch().set("n", b"k", b"1").set("n", b"k", b"2")
+    with pytest.raises(ValueError):
+        Batch().set("n", b"k" * 5000, b"")
