@@ -36,6 +36,38 @@ def test_more_sizes_cost_no_more():
     assert total((512, 1024, 2048, 4096)) <= total((4096,))
 
 
+def best(lengths, permitted):
+    """The least cost of any packing, by trying all partitions of the pieces into bins."""
+    pieces = [p for n in lengths for p in [max(permitted)] * (n // max(permitted)) + ([n % max(permitted)] if n % max(permitted) else [])]
+    least = [float("inf")]
+
+    def put(i, bins):
+        if i == len(pieces):
+            least[0] = min(least[0], sum(k.cost(min(c for c in permitted if c >= b)) for b in bins))
+            return
+        for j in range(len(bins) + 1):
+            if j == len(bins):
+                put(i + 1, [*bins, pieces[i]])
+            elif bins[j] + pieces[i] <= max(permitted) and bins[j] not in bins[:j]:
+                put(i + 1, [*bins[:j], bins[j] + pieces[i], *bins[j + 1 :]])
+
+    put(0, [])
+    return least[0]
+
+
+def test_against_brute_force():
+    """On tiny inputs no packing is cheaper than the best of all, and few are much dearer."""
+    rnd = random.Random(8)
+    ratios = []
+    for permitted in ((16,), (8, 16), (512, 1024, 2048)):
+        for _ in range(40):
+            lengths = [rnd.randint(1, max(permitted) + max(permitted) // 4) for _ in range(rnd.randint(1, 7))]
+            pieces, caps = k.pack(lengths, permitted)
+            check(lengths, pieces, caps, permitted)
+            ratios.append(sum(map(k.cost, caps)) / best(lengths, permitted))
+    assert min(ratios) > 0.999999 and max(ratios) < 1.5 and sum(r < 1.000001 for r in ratios) > 0.8 * len(ratios)
+
+
 def test_documents(make, edges, nothing):
     rnd = random.Random(3)
     rows = [(j, "w " * rnd.randrange(700), None, None) for j in range(120)]
