@@ -12,6 +12,7 @@ Tables of a version:
 * ``ingested`` (path, at, size, digest): files as they were when a folder was imported
 * ``roots`` (name, ns, id, evictable, last_use)
 * ``pins`` (token, generation): snapshots that collection must spare
+* ``holds`` (token, scope, ns, id): objects, with all they reach, that collection must spare
 
 Every change is one commit against the version it was made from, which appends what is new; collection writes tables anew. Whatever is large stays a DataFrame; the
 driver sees counts, versions and first failures.
@@ -45,6 +46,7 @@ TABLES = {
     "ingested": "path string, at timestamp, size long, digest string",
     "roots": "name string, ns string, id string, evictable boolean, last_use long",
     "pins": "token string, generation long",
+    "holds": "token string, scope string, ns string, id string",
 }
 #: Changed files of a folder that are read one by one.
 READ_FILES = 100_000
@@ -129,6 +131,14 @@ class Repository:
             at = rows[0]["child"]
         return {c: rows[0][c] for c in _columns("entries")[1:]}
 
+    def access(self, directory: str, path: str, *, execute: bool = False) -> bool:
+        """Whether a path can be read below a directory, or run; what is stored is never written to."""
+        try:
+            got = self.getattr(directory, path)
+        except FileNotFoundError:
+            return False
+        return not execute or got["kind"] == "directory" or bool(got["executable"])
+
     def readlink(self, directory: str, path: str) -> str:
         got = self.getattr(directory, path)
         if got["kind"] != "symlink":
@@ -409,10 +419,40 @@ class Repository:
         v = self.version()
         self.store.commit(v, {"pins": v.read("pins").where(F.col("token") != token)})
 
+    def hold(self, objects: DataFrame, scope: str = "") -> str:
+        """Keep objects (ns, id) and what they reach until ``release``; the token of the hold. One that is not stored is an error."""
+        v, token = self.version(), uuid.uuid4().hex
+        own = spool(objects.select(*KEY).distinct(), "hold")
+        if not own.join(v.read("objects"), KEY, "left_anti").isEmpty():
+            raise KeyError("an object to be held is not stored")
+        self.store.commit(v, append={"holds": own.select(F.lit(token).alias("token"), F.lit(scope).alias("scope"), *KEY)})
+        return token
+
+    def narrow(self, token: str, objects: DataFrame) -> None:
+        """Let a hold keep only those of its objects that are given; it never grows."""
+        v = self.version()
+        own = v.read("holds")
+        kept = own.where(F.col("token") == token).join(objects.select(*KEY).distinct(), KEY, "left_semi")
+        self.store.commit(v, {"holds": own.where(F.col("token") != token).unionByName(kept.select(*_columns("holds")))})
+
+    def release(self, token: str) -> bool:
+        """End a hold; whether there was one."""
+        v = self.version()
+        own = v.read("holds")
+        if own.where(F.col("token") == token).isEmpty():
+            return False
+        self.store.commit(v, {"holds": own.where(F.col("token") != token)})
+        return True
+
+    def holds(self, scope: str | None = None) -> DataFrame:
+        """(token, scope, n) of the holds there are."""
+        own = self.version().read("holds")
+        return (own if scope is None else own.where(F.col("scope") == scope)).groupBy("token", "scope").agg(F.count("*").alias("n"))
+
     def live(self, v: Version) -> DataFrame:
-        """What roots reach, and what was born by a pinned generation."""
+        """What roots and holds reach, and what was born by a pinned generation."""
         pinned = v.read("pins").agg(F.max("generation")).first()[0]
-        seeds = v.read("roots").select(*KEY)
+        seeds = v.read("roots").select(*KEY).union(v.read("holds").select(*KEY))
         if pinned is not None:
             seeds = seeds.union(kv.as_of(v.read("objects"), pinned).select(*KEY))
         return closure(seeds, v.read("links")).select(*KEY)
@@ -437,6 +477,13 @@ class Repository:
             self.store.commit(v, {k: df.select(*_columns(k)) for k, df in new.items()})
         return out
 
+    def try_collect(self) -> dict[str, int] | None:
+        """Collect if no other commit comes between; None if one does."""
+        try:
+            return self.collect()
+        except StaleRevision:
+            return None
+
     def eviction_plan(self, need: int) -> DataFrame:
         """(name, rank, freed): the evictable roots to remove, least recently used first, so that ``need`` bytes that only they hold are free.
 
@@ -447,7 +494,7 @@ class Repository:
         evictable = spool(v.read("roots").where("evictable"), "evict-roots")
         ranked = evictable.select("name", *KEY, F.struct(*order).alias("rank"))
         pinned = v.read("pins").agg(F.max("generation")).first()[0]
-        kept = v.read("roots").where("NOT evictable").select(*KEY)
+        kept = v.read("roots").where("NOT evictable").select(*KEY).union(v.read("holds").select(*KEY))
         if pinned is not None:
             kept = kept.union(kv.as_of(v.read("objects"), pinned).select(*KEY))
         spared = closure(kept, v.read("links")).select(*KEY)

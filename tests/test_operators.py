@@ -212,6 +212,7 @@ def test_deep_graphs_are_contracted(spark, monkeypatch):
 
     from cairnlake.operators import closure as c
 
+    monkeypatch.setattr(c, "PLAIN_LEVELS", 3)
     rnd = random.Random(3)
     edges = {(k, k + 1) for k in range(2000)} | {(2000, 5000), (5000, 5001), (5001, 5002), (5002, 5000)} | {(300, 6000), (6000, 1500), (40, 41), (9000, 9001), (9001, 9000)}
     edges |= {(7000 + k, 7000 + rnd.randrange(k)) for k in range(1, 40)} | {(1999, 7039)}

@@ -123,3 +123,18 @@ def test_objects_paths_and_roots(spark, tmp_path):
     repo.set_root("e", "directory.v1", tops["r1"], evictable=True, last_use=3)
     repo.touch_roots(spark.createDataFrame([("e", 9), ("r1", 9)], "name string, at long"))
     assert {r["name"]: r["last_use"] for r in repo.roots().collect()} == {"e": 9, "r1": 0}
+
+
+def test_holds(spark, tmp_path):
+    """A hold spares what its objects reach; it can be narrowed and ends with its release."""
+    repo = Repository(spark, f"file://{tmp_path}/r")
+    tops = [repo.import_files(files(spark, [("f", b"%d" % k)]), None) for k in range(2)]
+    keys = lambda ids: spark.createDataFrame([("directory.v1", i) for i in ids], "ns string, id string")
+    with pytest.raises(KeyError):
+        repo.hold(keys(["0"]))
+    token = repo.hold(keys(tops), "transfer")
+    assert [(r["scope"], r["n"]) for r in repo.holds().collect()] == [("transfer", 2)] and repo.holds("other").count() == 0
+    assert repo.collect() == {"objects": 0, "payloads": 0} and repo.access(tops[0], "f") and not repo.access(tops[0], "f", execute=True) and not repo.access(tops[0], "g")
+    repo.narrow(token, keys(tops[:1]))
+    assert repo.try_collect()["objects"] == 2
+    assert repo.release(token) and not repo.release(token) and repo.collect()["objects"] == 2
