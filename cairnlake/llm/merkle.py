@@ -57,25 +57,29 @@ def root(sections_: Column) -> Column:
     return _sha(F.concat(F.lit("r"), F.array_join(sections_["digest"], "")))
 
 
-def tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """``df`` with columns leaves, paragraphs, sections and root of the column ``text``."""
-    c = lambda x: f"{prefix}{x}"
-    df = df.withColumn(c("leaves"), leaves(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn(c("paragraphs"), paragraphs(F.col(c("leaves"))))
-    df = df.withColumn(c("sections"), sections(F.col(c("paragraphs"))))
-    return df.withColumn(c("root"), root(F.col(c("sections"))))
+def _with(x: Column, of) -> Column:
+    """``of(x)``, with ``x`` computed once."""
+    return F.get(F.transform(F.array(x), of), 0)
 
 
 def labels(leaves_: Column) -> Column:
     """The leaves as they stand in a fingerprint: the least SKETCH different ones, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(F.flatten(leaves_), lambda x: F.left(x, F.lit(LEAF))))), 1, SKETCH)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(F.flatten(leaves_), lambda x: F.left(x, F.lit(LEAF))))), 1, SKETCH)
+
+
+def tree(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """``df`` with columns paragraphs, sections, root and labels of the column ``text``. The leaves, several times as large as the text, do not leave the expression."""
+    low = _with(leaves(F.coalesce(F.col(text), F.lit(""))), lambda f: F.struct(paragraphs(f).alias("paragraphs"), labels(f).alias("labels")))
+    df = df.withColumn("_tree", _with(low, lambda x: F.struct(x["paragraphs"].alias("paragraphs"), sections(x["paragraphs"]).alias("sections"), x["labels"].alias("labels"))))
+    out = df.select("*", *(F.col(f"_tree.{c}").alias(f"{prefix}{c}") for c in ("paragraphs", "sections", "labels"))).drop("_tree")
+    return out.withColumn(f"{prefix}root", root(F.col(f"{prefix}sections")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two arrays of ``labels``."""
     both = F.array_union(a, b)
     n = F.when((F.size(a) < SKETCH) & (F.size(b) < SKETCH), F.size(both)).otherwise(F.least(F.size(both), F.lit(SKETCH)))
-    common = F.size(F.array_intersect(F.slice(F.array_sort(both), 1, n), F.array_intersect(a, b)))
+    common = F.size(F.array_intersect(F.slice(F.sort_array(both), 1, n), F.array_intersect(a, b)))
     return 2.0 * common / (n + common)
 
 
@@ -97,8 +101,8 @@ def _upto(sections_: Column, n: Column) -> Column:
     return F.aggregate(F.slice(sections_, F.lit(1), n), F.lit(0), lambda s, x: s + x["n"].cast("int"))
 
 
-def differing(df: DataFrame, a: str = "", b: str = "edited_") -> DataFrame:
-    """``df``, with the trees of two prefixes, and where they differ: edit_first, edit_last, edit_other_last, edit_piece.
+def differing(df: DataFrame, text: str, other: str, a: str = "", b: str = "edited_") -> DataFrame:
+    """``df``, with two texts and their trees of two prefixes, and where they differ: edit_first, edit_last, edit_other_last, edit_piece.
 
     Sections are compared first, then the paragraphs of those between the first and the last that differ, then the pieces of the first
     paragraph that differs. Paragraphs are counted from 0; from ``edit_first`` up to and without ``edit_last`` the first text
@@ -111,7 +115,8 @@ def differing(df: DataFrame, a: str = "", b: str = "edited_") -> DataFrame:
     df = df.withColumn("_in", F.struct(*(x.alias(n) for x, n in zip(_apart(inner(f"{a}paragraphs"), inner(f"{b}paragraphs")), ("head", "tail"), strict=True))))
     first, tail = F.col("_skip.head") + F.col("_in.head"), F.col("_skip.tail") + F.col("_in.tail")
     none = F.array().cast("array<string>")
-    piece = _prefix(F.coalesce(F.get(f"{a}leaves", first), none), F.coalesce(F.get(f"{b}leaves", first), none))
+    pieces = lambda x: F.coalesce(F.split(F.get(F.split(F.coalesce(F.col(x), F.lit("")), "\n", -1), first), PIECE, -1), none)  # noqa: E731  equal pieces are equal leaves
+    piece = _prefix(pieces(text), pieces(other))
     out = {"edit_first": first, "edit_last": F.size(f"{a}paragraphs") - tail, "edit_other_last": F.size(f"{b}paragraphs") - tail, "edit_piece": piece}
     changed = F.col(f"{a}root") != F.col(f"{b}root")
     return df.select("*", *(F.when(changed, x).cast("int").alias(n) for n, x in out.items())).drop("_at", "_skip", "_in")
@@ -170,11 +175,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
     rows = rows.withColumn("edited_sha256", _sha(F.col("edited")))
-    rows = tree(tree(rows, "text"), "edited", "edited_")
-    rows = differing(rows)
-    rows = rows.withColumn("a", labels(F.col("leaves"))).withColumn("b", labels(F.col("edited_leaves"))).withColumn("c", labels(leaves(F.col("next_text"))))
-    said = lambda r, x: F.concat(F.col(r), F.lit(":"), F.array_join(x, ""))
+    rows = differing(tree(tree(rows, "text"), "edited", "edited_"), "text", "edited").withColumn("next_labels", labels(leaves(F.col("next_text"))))
+    said = lambda p: F.concat(F.col(f"{p}root"), F.lit(":"), F.array_join(f"{p}labels", ""))
+    near = lambda other: likeness(F.col("labels"), F.col(other))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", said("root", "a").alias("fingerprint"), said("edited_root", "b").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", said("").alias("fingerprint"), said("edited_").alias("edited_fingerprint"), near("edited_labels").alias("near_edited"), near("next_labels").alias("near_next"),
         "edit_first", "edit_last", "edit_other_last", "edit_piece",
     )

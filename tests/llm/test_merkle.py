@@ -52,7 +52,7 @@ def test_edits_are_located(make):
             b[k : k + rnd.randrange(3)] = rnd.choice([[], [line()], b[:1], [line(), line()]])
         rows.append(("\n".join(a), "\n".join(b)))
     df = make([]).sparkSession.createDataFrame(rows, "a string, b string")
-    out = m.differing(m.tree(m.tree(df, "a"), "b", "edited_")).select("a", "b", "edit_first", "edit_last", "edit_other_last", "edit_piece").collect()
+    out = m.differing(m.tree(m.tree(df, "a"), "b", "edited_"), "a", "b").select("a", "b", "edit_first", "edit_last", "edit_other_last", "edit_piece").collect()
 
     def head(x, y):
         k = 0
@@ -77,7 +77,7 @@ def test_fingerprints_are_bounded_and_alike_as_texts_are(make):
     word = lambda: "".join(rnd.choice("abcdefgmpy") for _ in range(4))
     base = [word() for _ in range(3000)]
     rows = [(k, " ".join(base[: 3000 - 300 * k] + [word() for _ in range(300 * k)]), "en", "s") for k in range(10)]
-    docs = m.tree(make(rows), "text").select("doc_id", "text", m.labels(F.col("leaves")).alias("x"), F.array_distinct(F.transform(F.flatten("leaves"), lambda x: F.left(x, F.lit(m.LEAF)))).alias("all")).orderBy("doc_id").collect()
+    docs = m.tree(make(rows), "text").select("doc_id", "text", F.col("labels").alias("x"), F.array_distinct(F.transform(F.flatten(m.leaves(F.col("text"))), lambda x: F.left(x, F.lit(m.LEAF)))).alias("all")).orderBy("doc_id").collect()
     assert all(len(r["x"]) == m.SKETCH for r in docs)
     for r in docs[1:]:
         a, b = set(docs[0]["all"]), set(r["all"])
