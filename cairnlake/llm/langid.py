@@ -204,6 +204,21 @@ def train(docs: DataFrame, usable: Column, *, rows: int = TRAIN_DOCS) -> Model:
     return Model(langs, logs.astype(np.float32), np.where(allowed.any(1, keepdims=True), allowed, True))
 
 
+def one_label(scores: np.ndarray, switch: float = SWITCH) -> int | None:
+    """The label of all words, if the best path has only one, which this proves without walking it; else None.
+
+    A path that leaves the label for a stretch of words gains there what other labels score more, and pays one switch at
+    least. If no stretch gains as much as a switch costs, no such path is better.
+    """
+    top = int(scores.sum(0).argmax())
+    if scores.shape[1] == 1:
+        return top
+    other = np.delete(scores, top, 1).max(1)
+    gain = np.cumsum(other - scores[:, top], dtype=np.float64)
+    most = (gain - np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))).max()
+    return top if most < switch - 1e-6 else None
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: float = SWITCH, ids: np.ndarray | None = None) -> np.ndarray:
     """The best label of each word of several texts at once.
 
@@ -259,7 +274,17 @@ def label(found: list[list[str]], model: Model, scorer: Scorer | None = None) ->
     ids = scorer.ids([found[k] for k in full])
     counts = np.array([len(found[k]) for k in full])
     first = np.cumsum(counts) - counts
-    labels = viterbi(scorer.rows, first, counts, ids=ids)
+    labels = np.empty(len(ids), np.int32)
+    mixed = []
+    for k, (a, n) in enumerate(zip(first.tolist(), counts.tolist(), strict=True)):
+        if (top := one_label(scorer.rows[ids[a : a + n]])) is None:
+            mixed.append(k)
+        else:
+            labels[a : a + n] = top
+    if mixed:
+        own = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in mixed])
+        some = counts[mixed]
+        labels[own] = viterbi(scorer.rows, np.cumsum(some) - some, some, ids=ids[own])
     chars = scorer.lengths[ids]
     for k, a, n in zip(full, first.tolist(), counts.tolist(), strict=True):
         own = labels[a : a + n]

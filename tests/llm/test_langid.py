@@ -72,6 +72,19 @@ def test_viterbi_against_brute_force():
         assert abs(value(tuple(got[a : a + n])) - value(best)) < 1e-9
 
 
+def test_one_label_is_what_viterbi_gives():
+    rnd = np.random.default_rng(1)
+    proven = 0
+    for _ in range(400):
+        n, k = int(rnd.integers(1, 12)), int(rnd.integers(1, 5))
+        scores = rnd.normal(size=(n, k)) + rnd.normal(size=k) * 2
+        top = g.one_label(scores, 2.0)
+        if top is not None:
+            proven += 1
+            assert (g.viterbi(scores, np.array([0]), np.array([n]), 2.0) == top).all()
+    assert 100 < proven < 400
+
+
 def test_edges(edges, nothing, make, model):
     got = {r["doc_id"]: r for r in g.identify(edges, model).collect()}
     assert len(g.identify(edges, model).collect()) == len(EDGES)
