@@ -39,6 +39,8 @@ BUSY = 256
 BLOCK = 16
 #: Words of a shingle, and pairs with one first document that one task compares.
 WORDS, PAIRS = 5, 256
+#: Least shingles of a document by which hopeless pairs are told.
+SKETCH = 64
 
 
 def _segment(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
@@ -228,34 +230,49 @@ def edit_links(at: DataFrame, docs: DataFrame, max_edits: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(d, s, n): hashes of the distinct five-word shingles of each document (doc_id, hash of the text) with words."""
+    """(d, s, n, h, k): hashes of the distinct five-word shingles of each document (d, text) with words, in order; their number, their hash, and the least SKETCH of them."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select("d", F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     s = F.when(n < WORDS, F.array(F.xxhash64("w"))).otherwise(F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS))))
-    return rows.select("d", F.array_distinct(s).alias("s")).dropDuplicates(["d"]).withColumn("n", F.size("s").cast("long"))
+    sets = rows.select("d", F.sort_array(F.array_distinct(s)).alias("s"))
+    return sets.select("d", "s", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.slice("s", 1, SKETCH).alias("k"))
 
 
 def copies(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (d, first) of documents whose texts have a Jaccard similarity of ``percent`` or more.
 
-    Sizes are compared first, then full sets. A document that is the first of many is dealt to several tasks.
+    Sizes are compared first; equal sets are copies, and of the others the least shingles of both discard pairs that are six standard deviations
+    under the threshold. Full sets decide on what is left. A document that is the first of many is dealt to several tasks.
     """
     ends = spool(pairs.select(F.explode(F.array("d", "first")).alias("d")).distinct(), "line-ends")
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")).alias("d"), "text")
     sets = spool(shingle_sets(named.join(broadcast_if_small(ends), "d", "left_semi")), "line-sets")
-    sizes = sets.select("d", "n")
-    firsts = broadcast_if_small(spool(pairs.select("first").distinct().join(sizes.select(F.col("d").alias("first"), F.col("n").alias("m")), "first"), "line-firsts"))
-    likely = pairs.join(sizes, "d").join(firsts, "first").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    if sets.count() > sets.select("d").distinct().count():  # rows of one document
+        sets = spool(sets.dropDuplicates(["d"]), "line-sets")
+    named = broadcast_if_small(spool(pairs.select("first").distinct(), "line-named"))
+    firsts = sets.select(F.col("d").alias("first"), F.col("n").alias("m"), F.col("h").alias("g")).join(named, "first", "left_semi")
+    met = sets.select("d", "n", "h").join(broadcast_if_small(pairs), "d").join(broadcast_if_small(spool(firsts, "line-firsts")), "first")
+    met = spool(met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("d", "first", (F.col("h") == F.col("g")).alias("same")), "line-met")
+    other = met.where("NOT same").select("d", "first")
+    heads = broadcast_if_small(spool(other.select("first").distinct(), "line-heads"))
+    sketches = spool(sets.select(F.col("d").alias("first"), F.col("k").alias("z")).join(heads, "first", "left_semi"), "line-sketches")
+    both = F.sort_array(F.array_union("k", "z"))
+    most = F.when((F.size("k") < SKETCH) & (F.size("z") < SKETCH), F.size(both)).otherwise(F.least(F.size(both), F.lit(SKETCH)))
+    common = F.size(F.array_intersect(F.slice(both, 1, most), F.array_intersect("k", "z")))
+    margin = 6 * (percent * (100 - percent) / SKETCH) ** 0.5
+    likely = sets.select("d", "k").join(broadcast_if_small(spool(other, "line-other")), "d").join(broadcast_if_small(sketches), "first").where(common * 100 >= most * (percent - margin))
     likely = spool(likely.select("d", "first"), "line-likely")
-    often = likely.groupBy("first").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    often = spool(likely.groupBy("first").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "line-often")
     busy = broadcast_if_small(spool(often.where("parts > 1"), "line-busy-firsts"))
     parts = F.coalesce("parts", F.lit(1))
-    left = likely.join(sets, "d").join(busy, "first", "left").withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).drop("parts")
-    right = often.join(sets.select(F.col("d").alias("first"), F.col("s").alias("z"), F.col("n").alias("m")), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    full = sets.select("d", "s", "n")
+    left = full.join(broadcast_if_small(likely), "d").join(busy, "first", "left").withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).drop("parts")
+    right = full.select(F.col("d").alias("first"), F.col("s").alias("z"), F.col("n").alias("m")).join(broadcast_if_small(often), "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     shared = F.size(F.array_intersect("s", "z")).cast("long")
-    met = left.join(right, ["first", "part"]).select("d", "first", "n", "m", shared.alias("c"))
-    return met.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("d", "first")
+    near = left.join(right, ["first", "part"]).select("d", "first", "n", "m", shared.alias("c"))
+    near = near.where(F.col("c") * 100 >= (F.col("n") + F.col("m") - F.col("c")) * percent).select("d", "first")
+    return met.where("same").select("d", "first").union(near)
 
 
 def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None) -> DataFrame:
@@ -289,21 +306,23 @@ def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int
     return total.join(gone, "d", "left").where("n_links > 0 OR repeated IS NOT NULL")
 
 
-def dedup(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None) -> DataFrame:
-    """(row, text, n_lines, n_removed, n_links, repeated) of each row of ``docs``, which is ``row``; ``text`` is without repeated lines."""
-    repeats = spool(find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, copies_percent=copies_percent), "line-repeats")
+def dedup(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None, details: bool = True) -> DataFrame:
+    """(row, text, n_removed[, n_lines, n_links, repeated]) of each row of ``docs``, which is ``row``; ``text`` is without repeated lines."""
+    repeats = find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, copies_percent=copies_percent).withColumn("gone", F.col("repeated.line_no"))
+    repeats = spool(repeats if details else repeats.where("gone IS NOT NULL").select("d", "gone"), "line-repeats")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")).alias("d"))
     both = rows.join(broadcast_if_small(repeats), "d", "left")
-    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("repeated.line_no"))
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
     kept = F.aggregate(F.array(F.split("text", "\n", -1)), F.lit(""), lambda _, p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))  # so that a text is split once
-    none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return both.select(
-        "row", F.when(F.col("repeated").isNotNull(), kept).otherwise(F.col("text")).alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("repeated").isNotNull(), F.size("repeated")).otherwise(0).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("repeated", none).alias("repeated"),
-    )
+    changed = F.col("gone").isNotNull()
+    out = ["row", F.when(changed, kept).otherwise(F.col("text")).alias("text"), F.when(changed, F.size("gone")).otherwise(0).cast("long").alias("n_removed")]
+    if details:
+        none = F.array().cast("array<struct<line_no: int, class_doc: bigint, class_line: int>>")
+        n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+        out += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("repeated", none).alias("repeated")]
+    return both.select(*out)
 
 
 def dedup_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated lines, by the options of ``dedup``: all columns are kept, and ``text`` is what stays."""
-    return dedup(docs, **options).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return dedup(docs, **options, details=False).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
