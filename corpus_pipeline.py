@@ -26,7 +26,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Near copies of the document that has a line first keep it, so that they reach near-dedup whole.
     """
-    found = linedup.dedup(docs, copies_percent=NEAR_PERCENT)
+    found = linedup.dedup(docs, copies_percent=NEAR_PERCENT, details=False)
     changed = F.col("n_removed") > 0
     own = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")}
     return found.where(~(changed & (n_words(F.col("text")) == 0))).select(*(own.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
