@@ -356,8 +356,8 @@ def verified_range(spark, sf):
 def sliced_delta(spark, sf):
     """Each text as a delta on the earlier text that shares most bytes of content-defined chunks; what was copied, and that it decodes.
 
-    Equal texts have the first of them as base; the first ones are compared by all chunks they share, wherever these
-    stand. A text without a base is one literal.
+    Equal texts have the first of them as base; the first ones are compared by the chunks they share, wherever these
+    stand, each with the eight newest earlier texts that hold it, as the index keeps. A text without a base is one literal.
     """
     d = table(spark, sf, "documents").select("doc_id", "text")
     first = spool(d.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id")), "delta-first")
@@ -365,8 +365,7 @@ def sliced_delta(spark, sf):
     once = d.join(first.select("doc_id"), "doc_id", "left_semi")
     chunks = spool(chunking.content_chunks(once, "doc_id", raw, 128).groupBy("doc_id", "chunk").agg(F.sum("size").alias("size")), "delta-chunks")
     shared = chunks.join(chunks.groupBy("chunk").agg(F.count("*").alias("c")).where("c > 1").select("chunk"), "chunk")
-    other = shared.select("chunk", F.col("doc_id").alias("base_id"), F.col("size").alias("held"))
-    met = shared.join(other, "chunk").where("base_id < doc_id").groupBy("doc_id", "base_id").agg(F.sum(F.least("size", "held")).alias("n"))
+    met = chunking.earlier_holders(shared, "doc_id").groupBy("doc_id", "base_id").agg(F.sum(F.least("size", "held")).alias("n"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("base_id")).alias("b"))).alias("x")).select("doc_id", (-F.col("x.b")).alias("base_id"))
     equal = d.select("doc_id", F.sha2("text", 256).alias("k")).join(first.withColumnRenamed("doc_id", "base_id"), "k").where("doc_id <> base_id").select("doc_id", "base_id")
     bases = spool(best.union(equal), "delta-bases")

@@ -133,3 +133,13 @@ def overwrite(manifest: DataFrame, chunks: DataFrame, key: str, patches: DataFra
     out = manifest.join(made.select(key, "ord", "_chunk"), [key, "ord"], "left").select(key, "ord", F.coalesce("_chunk", "chunk").alias("chunk"), "size")
     fresh = made.select(F.col("_chunk").alias("chunk"), "data").dropDuplicates(["chunk"]).join(chunks.select("chunk"), "chunk", "left_anti")
     return out, fresh
+
+
+def earlier_holders(chunks: DataFrame, key: str, n: int = 8) -> DataFrame:
+    """(key, base_id, size, held): for each chunk of each payload (key, chunk, size) the newest ``n`` earlier payloads that hold it, and its size there.
+
+    An index that keeps so many places for each chunk; pairs grow with the chunks, not with the square of those who share one.
+    """
+    before = Window.partitionBy("chunk").orderBy(key).rowsBetween(-n, -1)
+    met = chunks.withColumn("_x", F.collect_list(F.struct(F.col(key).alias("base_id"), F.col("size").alias("held"))).over(before))
+    return met.select(key, "size", F.explode("_x").alias("_x")).select(key, "_x.base_id", "size", "_x.held")
