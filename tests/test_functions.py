@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +160,18 @@ def test_compression_is_bounded():
     for bad, most in ((frame, len(data) - 1), (frame[:-3], len(data)), (frame + b"x", len(data))):
         with pytest.raises(ValueError):
             decompress(bad, most)
+
+
+def test_blake3_of_many_payloads_together(monkeypatch):
+    """A column's payloads are compressed together, not one by one, and each has its own digest."""
+    compress, calls = c._compress, []
+    monkeypatch.setattr(c, "_compress", lambda *x: calls.append(1) or compress(*x))
+    data = [bytes(k % 251 for k in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 3073, 8193, 31744, 102400)]
+    rows = pd.Series([*data, None] * 20)
+    (got,) = c.blake3_udf.func(iter([rows]))
+    assert len(calls) < 40
+    assert got.tolist() == [*(c.blake3(x) for x in data), None] * 20
+    assert got[13].hex().startswith("62b6960e1a44bcc1") and got[14].hex().startswith("bc3e3d41a1146b06")  # published vectors
+    monkeypatch.setattr(c, "TILE", 7)
+    monkeypatch.setattr(c, "TOGETHER", 3000)
+    assert c.blake3_many(data) == got.tolist()[: len(data)] and c.blake3_many([]) == []
