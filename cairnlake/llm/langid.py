@@ -20,10 +20,11 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ CLIP = 12.0
 SCRIPT_SHARE = 0.01
 #: Letters scored at a time.
 BLOCK_CHARS = 2_000_000
+#: Texts whose labels a worker holds until it walks those that need it and returns them all: until they have so many words, or are so many.
+HELD_WORDS, HELD_ROWS = 4_000_000, 16_384
 
 # First and last code point of ranges of letters, and their script.
 SCRIPTS = (
@@ -63,9 +66,9 @@ OTHER = len(_NAMES)
 
 
 @cache
-def _word() -> re.Pattern:
-    """A letter, and all letters and marks that follow it."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+def _word(last: int) -> re.Pattern:
+    """A letter, and all letters and marks that follow it, of code points up to ``last``."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(last + 1)]
 
     def ranges(of: str) -> str:
         out, c = [], 0
@@ -86,7 +89,12 @@ _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4E
 
 
 def words(text: str | None) -> list[str]:
-    return _word().findall(text.lower()) if text else []
+    """The words of a text. Ranges over 16 bits are tried one by one at each end of a word, so texts without such code points do without."""
+    if not text:
+        return []
+    lower = text.lower()
+    wide = not lower.isascii() and len(lower.encode("utf-16-le", "surrogatepass")) > 2 * len(lower)
+    return _word(sys.maxunicode if wide else 0xFFFF).findall(lower)
 
 
 def _script(code_points: np.ndarray) -> np.ndarray:
@@ -140,7 +148,8 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: defaultdict[str, int] = defaultdict()
+        self.code.default_factory = self.code.__len__  # a new word is the next row
         self.rows = np.empty((0, len(self.model.langs)), np.float32)
         self.lengths = np.empty(0, np.int64)
 
@@ -150,7 +159,7 @@ class Scorer:
             self._clear()
         code = self.code
         old = len(code)
-        out = np.fromiter((code.setdefault(w, len(code)) for words in found for w in words), np.int32)
+        out = np.fromiter(map(code.__getitem__, chain.from_iterable(found)), np.int32)
         fresh = islice(code, old, None)
         rows, lengths = [self.rows], [self.lengths]
         while part := list(islice(fresh, 100_000)):
@@ -264,37 +273,72 @@ def _blocks(texts: list[str | None]) -> Iterator[list[list[str]]]:
         yield block
 
 
+class Labels:
+    """(language, score, spans) of texts in the order in which they are added; those without one proved label are walked together.
+
+    A walk takes as many steps as its longest text has words, and costs by the step where few texts are long.
+    """
+
+    def __init__(self, model: Model, scorer: Scorer | None = None) -> None:
+        self.model, self.scorer = model, scorer or Scorer(model)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.done: list[tuple[str, float, list[dict]]] = []
+        self.mixed: list[tuple[int, np.ndarray]] = []  # place in ``done`` and rows of the scorer
+        self.words = 0
+
+    def add(self, found: list[list[str]]) -> None:
+        """Texts, given as their words."""
+        langs, scorer, begin = self.model.langs, self.scorer, len(self.done)
+        self.done += [("und", 0.0, [])] * len(found)
+        full = [k for k, w in enumerate(found) if w]
+        if not full or not langs:
+            return
+        if len(scorer.code) > scorer.most:
+            self._walk()  # the scorer is about to forget its rows
+        ids = scorer.ids([found[k] for k in full])
+        self.words += len(ids)
+        a = 0
+        for k in full:
+            n = len(found[k])
+            own = ids[a : a + n]
+            a += n
+            if (top := one_label(scorer.rows[own])) is None:
+                self.mixed.append((begin + k, own.copy()))
+            else:
+                self.done[begin + k] = langs[top], 1.0, [{"lang": langs[top], "first": 0, "last": n - 1}]
+
+    def _walk(self) -> None:
+        if not self.mixed:
+            return
+        langs, counts = self.model.langs, np.array([len(x) for _, x in self.mixed])
+        ids, first = np.concatenate([x for _, x in self.mixed]), np.cumsum(counts) - counts
+        labels = viterbi(self.scorer.rows, first, counts, ids=ids)
+        chars = self.scorer.lengths[ids]
+        for (k, _), a, n in zip(self.mixed, first.tolist(), counts.tolist(), strict=True):
+            own = labels[a : a + n]
+            share = np.bincount(own, chars[a : a + n], len(langs))
+            top = int(share.argmax())
+            cut = np.flatnonzero(own[1:] != own[:-1]) + 1
+            starts = [0, *cut.tolist()]
+            spans = [{"lang": langs[own[s]], "first": s, "last": e - 1} for s, e in zip(starts, [*starts[1:], n], strict=True)]
+            self.done[k] = langs[top], float(share[top] / share.sum()), spans
+        self.mixed = []
+
+    def take(self) -> list[tuple[str, float, list[dict]]]:
+        """Those of all texts added since the last call."""
+        self._walk()
+        done = self.done
+        self._clear()
+        return done
+
+
 def label(found: list[list[str]], model: Model, scorer: Scorer | None = None) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text, given as its words; spans hold the language, first and last word."""
-    out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(found)
-    full = [k for k, w in enumerate(found) if w]
-    if not full or not model.langs:
-        return out
-    scorer = scorer or Scorer(model)
-    ids = scorer.ids([found[k] for k in full])
-    counts = np.array([len(found[k]) for k in full])
-    first = np.cumsum(counts) - counts
-    labels = np.empty(len(ids), np.int32)
-    mixed = []
-    for k, (a, n) in enumerate(zip(first.tolist(), counts.tolist(), strict=True)):
-        if (top := one_label(scorer.rows[ids[a : a + n]])) is None:
-            mixed.append(k)
-        else:
-            labels[a : a + n] = top
-    if mixed:
-        own = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in mixed])
-        some = counts[mixed]
-        labels[own] = viterbi(scorer.rows, np.cumsum(some) - some, some, ids=ids[own])
-    chars = scorer.lengths[ids]
-    for k, a, n in zip(full, first.tolist(), counts.tolist(), strict=True):
-        own = labels[a : a + n]
-        share = np.bincount(own, chars[a : a + n], len(model.langs))
-        top = int(share.argmax())
-        cut = np.flatnonzero(own[1:] != own[:-1]) + 1
-        starts = [0, *cut.tolist()]
-        spans = [{"lang": model.langs[own[s]], "first": s, "last": e - 1} for s, e in zip(starts, [*starts[1:], n], strict=True)]
-        out[k] = model.langs[top], float(share[top] / share.sum()), spans
-    return out
+    labels = Labels(model, scorer)
+    labels.add(found)
+    return labels.take()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -303,9 +347,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
-        scorer = Scorer(held.value)
+        labels, ids = Labels(held.value), []
+
+        def taken() -> pa.RecordBatch:
+            got, doc_id = labels.take(), pa.concat_arrays(ids)
+            ids.clear()
+            return pa.RecordBatch.from_arrays([doc_id, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], span)], ["doc_id", "lang_pred", "score", "spans"])
+
         for b in slices(batches):
-            got = [x for block in _blocks(b.column("text").to_pylist()) for x in label(block, held.value, scorer)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], span)], ["doc_id", "lang_pred", "score", "spans"])
+            for block in _blocks(b.column("text").to_pylist()):
+                labels.add(block)
+            ids.append(b.column("doc_id").cast(pa.int64()))
+            if labels.words >= HELD_WORDS or len(labels.done) >= HELD_ROWS:
+                yield taken()
+        if ids:
+            yield taken()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first: int, last: int>>")

@@ -95,3 +95,38 @@ def test_edges(edges, nothing, make, model):
     assert g.identify(nothing, model).count() == 0
     empty = g.train(nothing, F.lit(True))
     assert {r["lang_pred"] for r in g.identify(edges, empty).collect()} == {"und"}
+
+
+def test_mixed_texts_of_several_blocks_are_walked_together(model, monkeypatch):
+    """Walks cost by the step of their longest text: blocks share one, also where the scorer forgets its words, and results stay in order."""
+    rnd = random.Random(12)
+    texts = [g.words(" ".join(say(x, rnd.randint(5, 30), rnd) for x in rnd.choice([["aa"], ["aa", "bb"], ["bb", "cc", "aa"], ["cc", "bb"]]))) for _ in range(60)] + [[]]
+    want = [g.label([t], model)[0] for t in texts]
+    assert sum(len(x[2]) > 1 for x in want) > 20
+    walk, calls = g.viterbi, []
+    monkeypatch.setattr(g, "viterbi", lambda *x, **y: calls.append(1) or walk(*x, **y))
+    labels = g.Labels(model)
+    for k in range(0, len(texts), 4):
+        labels.add(texts[k : k + 4])
+    assert labels.take() == want and len(calls) == 1 and labels.take() == []
+    few = g.Labels(model, g.Scorer(model, most=10))
+    for k in range(0, len(texts), 4):
+        few.add(texts[k : k + 4])
+    assert few.take() == want
+
+
+def test_words_with_and_without_wide_letters():
+    """Letters over 16 bits are words too; a text without them is read by a pattern without their ranges."""
+    assert g.words("ab \U00010400\U00010428x 中\U00020000 9") == ["ab", "\U00010428\U00010428x", "中\U00020000"]
+    assert g.words("ab \ud800 é") == ["ab", "é"]
+    wide, narrow = g._word(0x10FFFF), g._word(0xFFFF)
+    text = "".join(map(chr, range(0x10000)))
+    assert wide.findall(text) == narrow.findall(text)
+
+
+def test_identify_labels_each_row(model, make):
+    rnd = random.Random(3)
+    docs = make([(k, say("aa", 5, rnd) + " " + say("bb", k % 9, rnd), None, "s") for k in range(50)])
+    want = {r["doc_id"]: g.label([g.words(r["text"])], model)[0] for r in docs.collect()}
+    got = g.identify(docs, model).collect()
+    assert {r["doc_id"]: (r["lang_pred"], r["score"], [x.asDict() for x in r["spans"]]) for r in got} == want and len(got) == 50
