@@ -307,11 +307,18 @@ def find_repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int
 
 
 def dedup(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, max_copies: int = MAX_COPIES, copies_percent: int | None = None, details: bool = True) -> DataFrame:
-    """(row, text, n_removed[, n_lines, n_links, repeated]) of each row of ``docs``, which is ``row``; ``text`` is without repeated lines."""
-    repeats = find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, copies_percent=copies_percent).withColumn("gone", F.col("repeated.line_no"))
-    repeats = spool(repeats if details else repeats.where("gone IS NOT NULL").select("d", "gone"), "line-repeats")
+    """(row, text, n_removed[, n_lines, n_links, repeated]) of each row of ``docs``, which is ``row``; ``text`` is without repeated lines.
+
+    With ``details`` texts meet a row for each document with repeated or linked lines. That table grows with the texts, so the session's threshold decides
+    whether it is broadcast, and what is moved grows with the input.
+    """
+    repeats = find_repeats(docs, max_edits=max_edits, min_chars=min_chars, max_copies=max_copies, copies_percent=copies_percent)
+    gone = F.col("repeated.line_no").alias("gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")).alias("d"))
-    both = rows.join(broadcast_if_small(repeats), "d", "left")
+    if details:
+        both = rows.join(spool(repeats, "line-repeats"), "d", "left").select("row", "text", "n_links", "repeated", gone)
+    else:
+        both = rows.join(broadcast_if_small(spool(repeats.where("repeated IS NOT NULL").select("d", gone), "line-repeats")), "d", "left")
     stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
     kept = F.aggregate(F.array(F.split("text", "\n", -1)), F.lit(""), lambda _, p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))  # so that a text is split once
     changed = F.col("gone").isNotNull()

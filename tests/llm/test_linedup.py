@@ -134,3 +134,21 @@ def test_edges(edges, nothing):
     clash = edges.withColumn("repeated", F.lit(1)).withColumn("d", F.lit(2)).withColumn("row", F.lit(3)).withColumn("_n_links", F.lit(4))
     assert d.dedup_documents(clash).columns == clash.columns and d.dedup_documents(clash).count() == len(EDGES)
     assert d.dedup_documents(nothing).count() == 0
+
+
+def test_texts_meet_details_by_the_sessions_threshold(spark, make):
+    """The table of repeats grows with the texts: no hint broadcasts it at one size only. Results are the same either way."""
+    rows = [(k, f"a line of some length that many documents share\nline {k} has words of its own, number {k * 7919}") for k in range(30)] + [(40, "short"), (None, "short"), (41, None)]
+    docs = make([(i, t, None, None) for i, t in rows])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = []
+    try:
+        for most in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            got = d.dedup(docs)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            seen.append((sorted(map(repr, got.select("row.doc_id", "text", "n_removed", "n_lines", "n_links", "repeated").collect())), "BroadcastHashJoin" in plan))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [x for _, x in seen] == [False, True] and seen[0][0] == seen[1][0] and len(seen[0][0]) == len(rows)
+    assert sum("n_removed=1" in r for r in seen[0][0]) == 29
